@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrid.llm import simhash
+from neargrid.llm import simhash, winnowing
 from neargrid.llm.common import read_table
 
 
@@ -14,5 +14,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash": op6_simhash}
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    n_hit = winnowing.covered("spans")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+QUERIES = {"op6_simhash": op6_simhash, "op10_winnowing": op10_winnowing}
 ORACLE_SQL: dict[str, str] = {}
