@@ -1,0 +1,95 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from neargrid.llm.packing import ByteBpe, pack, patterns
+
+PATHS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def holds(histogram, size):
+    """Every token of every document in one piece, sequences without holes or overlaps; the padding in all."""
+    slots, fills, n = patterns(dict(histogram), size, 4)
+    docs, sequences = defaultdict(list), defaultdict(list)
+    for length, first, past, sequence, at in slots:
+        for r in range(first, past):
+            docs[length, r].append((0, length))
+            sequences[sequence + r - first].append((at, length))
+    for length, first, past, line, gap, begins, ends, sequence, at in fills:
+        for r in range(first, past):
+            a = line + (r - first) * length
+            for k in range((max(a, begins) - begins) // gap, (min(a + length, ends) - 1 - begins) // gap + 1):
+                lo, hi = max(a, begins + k * gap), min(a + length, begins + (k + 1) * gap, ends)
+                docs[length, r].append((lo - a, hi - lo))
+                sequences[sequence + k].append((at + lo - begins - k * gap, hi - lo))
+    assert set(docs) == {(n, k) for n, c in histogram.items() for k in range(c)}
+    assert set(sequences) == set(range(n))
+    padded = 0
+    for whole, parts in [(k[0], v) for k, v in docs.items()] + [(None, v) for v in sequences.values()]:
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at and n > 0
+            at += n
+        assert at <= size if whole is None else at == whole
+        padded += size - at if whole is None else 0
+    return padded
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 63), st.integers(1, 40), max_size=30))
+def test_patterns(histogram):
+    tokens = sum(k * v for k, v in histogram.items())
+    assert holds(histogram, 64) < 64 + 4 * (tokens // 64 + 1)
+
+
+def test_patterns_do_not_grow_with_documents():
+    rnd = random.Random(0)
+    small = Counter(min(2047, int(rnd.expovariate(1 / 700)) + 1) for _ in range(5000))
+    assert holds(small, 2048) < 0.01 * sum(k * v for k, v in small.items())
+    slots, fills, _ = patterns({k: 1_000_000 * n for k, n in small.items()}, 2048)
+    assert len(slots) + len(fills) < 20_000
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=40) | st.text(" \n\tab'é9.ßs中\x85　", max_size=30) | st.text("<|endoftx> ", max_size=30))
+def test_ids_equal_the_tokenizer(text):
+    assert np.frombuffer(BPE.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+BPE, TOKENIZER = ByteBpe(*PATHS), Tokenizer.from_file(PATHS[0])
+
+
+@pytest.mark.parametrize("size", [32, 2048])
+def test_round_trip(spark, size):
+    rnd = random.Random(5)
+    texts = [None, "", " ", "a<|endoftext|>b"] + [" ".join(rnd.choice(["the", "été", "12", "x,", "Wörter\n"]) for _ in range(rnd.choice([1, 5, 40, 900]))) for _ in range(60)] + ["same text here"] * 40
+    docs = spark.createDataFrame([(i // 2 if i < 4 else i, t, 1, "r") for i, t in enumerate(texts)], "doc_id long, text string, task int, rest string").repartition(3)
+    rows = pack(docs, size).collect()
+    ids = defaultdict(list)
+    for i, t in enumerate(texts):
+        ids[i // 2 if i < 4 else i].append([*TOKENIZER.encode(t or "", add_special_tokens=False).ids, 1])
+    want = Counter()
+    for r in rows:
+        crcs = {zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) for x in ids[r.doc_id] if len(x) == r.doc_tokens}
+        assert r.ids_crc32 in crcs and 0 < r.length
+        want[r.doc_id] += r.length
+    assert want == Counter({d: sum(map(len, x)) for d, x in ids.items()})
+    sequences, padding = defaultdict(list), 0
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= size
+        padding += size - at
+    assert padding < size + 16 * len(sequences)
+    assert pack(docs.limit(0), size).collect() == []
