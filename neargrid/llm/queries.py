@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrid.llm import packing, simhash, winnowing
+from neargrid.llm import packing, secrets, simhash, winnowing
 from neargrid.llm.common import read_table
 
 
+def _is(kind: int):
+    return lambda s: s["kind"] == kind
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [F.size(F.filter("base", _is(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return out.select("row.doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("secrets").alias("spans"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -25,5 +35,5 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op6_simhash": op6_simhash, "op10_winnowing": op10_winnowing}
+QUERIES = {"op1_secrets": op1_secrets, "op2_packing": op2_packing, "op6_simhash": op6_simhash, "op10_winnowing": op10_winnowing}
 ORACLE_SQL: dict[str, str] = {}
