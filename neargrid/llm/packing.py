@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,19 +16,23 @@ from pyspark.sql import functions as F
 
 from neargrid.llm.common import cut, stored
 
-#: Words whose ids a worker keeps at hand.
-WORDS_KEPT = 300_000
+#: Words whose ids a worker keeps at hand, about 200 bytes each.
+WORDS_KEPT = 600_000
 #: Rank offsets and slots are broadcast up to this many rows and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 #: Texts with these go to the tokenizer itself: its special token, and blanks that libraries may class differently.
-_ODD = re.compile("<\\|endoftext\\|>|[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]| (?!\\S)")
+_ODD_ASCII = ("<|endoftext|>", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_ODD_OTHER = ("\x85", "\xa0", "\u1680", "\u180e", "\u3000", "\ufeff", *map(chr, range(0x2000, 0x2010)), "\u2028", "\u2029", "\u202f", *map(chr, range(0x205F, 0x2065)))
+#: Repeated blanks join into tokens, so these texts are not taken apart.
+_RUNS = ("  ", " \n", " \r", " \t", "\n\n", "\n\r", "\n\t", "\t\n", "\r\n")
 
 
 class ByteBpe(dict):
     """Ids of texts as little-endian unsigned 32-bit integers, equal to those of the tokenizer in byte_bpe_50k.json.
 
-    No token crosses the start of a blank before a non-blank, so words are looked up one by one: key `word` holds
-    the ids of " word". Odd texts go to the tokenizer whole.
+    No token crosses the start of a blank before a non-blank, nor that of a single line end, so words are looked up
+    one by one: key `word` holds the ids of " word", key "\\nword" those of itself. Once WORDS_KEPT words are held,
+    others are computed each time. Odd texts go to the tokenizer whole.
     """
 
     def __init__(self, json_path: str, ranks_path: str) -> None:
@@ -40,25 +44,32 @@ class ByteBpe(dict):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.words = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.piece = self.words._core_bpe.encode_single_piece
+        self.mark = {c: self.plain(c) for c in ".,;:!?"}
+
+    def plain(self, text: str) -> bytes:
+        return array("I", self.words.encode_ordinary(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        got = self.words.encode_to_numpy(" " + word, disallowed_special=()).astype("<u4").tobytes()
-        if len(word) <= 64:
+        if word.isalpha():
+            got = array("I", self.piece(f" {word}".encode())).tobytes()
+        elif word[-1:] in self.mark and word[:-1].isalpha():
+            got = self[word[:-1]] + self.mark[word[-1]]
+        else:
+            got = self.plain(word if word[:1] == "\n" else f" {word}")
+        if len(self) < WORDS_KEPT and len(word) <= 64:
             self[word] = got
         return got
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
-            import numpy as np
-
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        head = self.words.encode_to_numpy(first, disallowed_special=()).astype("<u4").tobytes() if first else b""
-        return head + b"".join(map(self.__getitem__, rest))
+        if any(c in text for c in _ODD_ASCII) or not text.isascii() and any(c in text for c in _ODD_OTHER):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if text[-1] in " \n\r\t" or any(c in text for c in _RUNS):
+            return self.plain(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.plain(first) + b"".join(map(self.__getitem__, rest))
 
 
 def tokenised(docs: DataFrame, size: int, end_id: int, tokenizer: tuple[str, str]) -> DataFrame:
