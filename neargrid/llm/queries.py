@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrid.llm import packing, pii, secrets, simhash, winnowing
+from neargrid.llm import langid, packing, pii, secrets, simhash, winnowing
 from neargrid.llm.common import read_table
 
 
@@ -34,6 +34,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.learn(docs.where(~langid.held_out("doc_id"))))
+    return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -41,5 +47,5 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_packing": op2_packing, "op3_pii": op3_pii, "op6_simhash": op6_simhash, "op10_winnowing": op10_winnowing}
+QUERIES = {"op1_secrets": op1_secrets, "op2_packing": op2_packing, "op3_pii": op3_pii, "op6_simhash": op6_simhash, "op7_langid": op7_langid, "op10_winnowing": op10_winnowing}
 ORACLE_SQL: dict[str, str] = {}
