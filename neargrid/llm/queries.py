@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrid.llm import langid, packing, pii, secrets, simhash, winnowing
+from neargrid.llm import langid, packing, pii, secrets, simhash, vectors, winnowing
 from neargrid.llm.common import read_table
 
 
@@ -29,6 +29,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("pii").alias("spans"))
 
 
+def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,5 +51,5 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_packing": op2_packing, "op3_pii": op3_pii, "op6_simhash": op6_simhash, "op7_langid": op7_langid, "op10_winnowing": op10_winnowing}
+QUERIES = {"op1_secrets": op1_secrets, "op2_packing": op2_packing, "op3_pii": op3_pii, "op5_pq": op5_pq, "op6_simhash": op6_simhash, "op7_langid": op7_langid, "op10_winnowing": op10_winnowing}
 ORACLE_SQL: dict[str, str] = {}
