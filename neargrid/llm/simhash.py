@@ -21,6 +21,8 @@ CELL = 512
 LEAF = 32
 #: Node pairs that are expanded at once; more wait on a stack.
 FRONTIER = 1 << 17
+#: Keys of dropped rows are broadcast up to this many and joined by a shuffle beyond.
+BROADCAST_ROWS = 500_000
 
 
 def simhash(text: bytes | None, shingle: int = 3) -> int:
@@ -41,14 +43,15 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, fp) row by row. Null or blank text: fp 0."""
+    """(doc_id, text, ...) -> (doc_id, key, fp) row by row. key: a hash of doc_id and text. Null or blank text: fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([simhash(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64())], names=["doc_id", "key", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
+    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint")
 
 
 def _join(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -166,9 +169,9 @@ def near_edges(prints: DataFrame, budget: int = 3, blocks: int | None = None) ->
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
-    """(doc_id, text, ...) -> one row (doc_id, fp, component_id) per row.
+    """(doc_id, text, ...) -> one row (doc_id, key, fp, root, component_id) per row.
 
-    component_id is the least doc_id that links of `budget` bits or fewer lead to; fp is the 64-bit fingerprint.
+    root is the fingerprint that names the component, component_id is the least doc_id that links of `budget` bits or fewer lead to; fp is the 64-bit fingerprint.
     Null, empty and blank texts have fingerprint 0 and link like any other; repeated rows each keep a row; an empty
     table gives none; other columns are ignored. A null doc_id is never a component's id unless it has no other.
     """
@@ -176,5 +179,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataF
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(near_edges(classes.select("fp"), budget)).withColumnRenamed("node", "fp")
     classes = classes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
+    """The rows of docs, all columns kept, less all but one of each component: the one of least doc_id (nulls last).
+
+    Of equal rows one stays. The texts of a table are not shuffled while at most BROADCAST_ROWS rows are dropped.
+    """
+    found = cut(near_duplicates(docs, shingle, budget).select("doc_id", "key", "root"))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
+    rows = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
+    gone = cut(rows.join(least, same(rows, least), "left_anti").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    again = cut(rows.where("n > 1").join(least, same(rows, least), "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+
+    def of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return rows.join(side, rows["doc_id"].eqNullSafe(side["_id"]) & (F.xxhash64(rows["doc_id"], rows["text"]) == side["_key"]), how)
+
+    out = of(docs, gone, "left_anti")
+    if again.isEmpty():
+        return out
+    return of(out, again, "left_anti").unionByName(of(out, again, "left_semi").dropDuplicates(["doc_id", "text"]))
