@@ -1 +1 @@
-"""."""
+"""Search, parsing and evaluation operators."""

@@ -1 +1 @@
-"""."""
+"""Whole plans: fixtures, the decision cascade, registered queries."""

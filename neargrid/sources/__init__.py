@@ -1 +1 @@
-"""."""
+"""Schemas, tables and shared storage."""

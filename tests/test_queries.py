@@ -1,0 +1,42 @@
+"""Every registered query of the scoring engine against its SQL."""
+
+import math
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from neargrid.plans.oracles import ORACLE_SQL
+from neargrid.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    return c
+
+
+def rows(names, found):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    clean = lambda x: round(x, 9) if isinstance(x, float) and not math.isnan(x) else x
+    return sorted((tuple(clean(r[i]) for i in order) for r in found), key=str)
+
+
+def test_all_have_sql():
+    assert QUERIES.keys() == ORACLE_SQL.keys()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    out = QUERIES[name](spark, SF)
+    got = out.collect()
+    want = duck.execute(ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    want = want.fetchall()
+    assert sorted(out.columns) == sorted(names)
+    assert rows(out.columns, got) == rows(names, want)
+    assert got
