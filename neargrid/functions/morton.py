@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neargrid.sources.schemas import DIMS
@@ -19,17 +19,24 @@ def byte(value: Column, optional: bool) -> Column:
     return F.floor((F.greatest(F.least(v, F.lit(10000)), F.lit(0)) * 255 + 5000) / 10000).cast("int")
 
 
-def key(columns: list[str]) -> Column:
-    """Most significant bit first, dimension 0 first; the two padding lanes are 0."""
-    bytes_ = [byte(F.col(c), d in OPTIONAL) for d, c in enumerate(columns)]
-    assert len(bytes_) == DIMS
-    words = []
-    for bit in range(7, -1, -1):
-        word = F.lit(0)
-        for d, b in enumerate(bytes_):
-            word = word + F.shiftright(b, bit).bitwiseAND(F.lit(1)) * (1 << (LANES - 1 - d))
-        words.append(F.lpad(F.hex(word), 4, "0"))
-    return F.concat(*words)
+def with_key(df: DataFrame, columns: list[str], name: str = "key") -> DataFrame:
+    """Most significant bit first, dimension 0 first; the two padding lanes are 0.
+
+    Half a byte's four bits lie LANES apart in half a key, which is a long: a table of 16 longs spreads them, and a
+    shift puts them in the dimension's lane. The bytes are a projection of their own, as each is read twice.
+    """
+    assert len(columns) == DIMS
+    kept = df.columns
+    df = df.select("*", *(byte(F.col(c), d in OPTIONAL).alias(f"_byte{d}") for d, c in enumerate(columns)))
+    spread = F.array(*(F.lit(sum((n >> i & 1) << (LANES * i) for i in range(4))).cast("bigint") for n in range(16)))
+
+    def half(shift: int) -> Column:
+        out = F.lit(0).cast("bigint")
+        for d in range(DIMS):
+            out = out.bitwiseOR(F.shiftleft(F.get(spread, F.shiftright(f"_byte{d}", shift).bitwiseAND(F.lit(15))), LANES - 1 - d))
+        return F.lpad(F.hex(out), 16, "0")
+
+    return df.select(*kept, F.concat(half(4), half(0)).alias(name))
 
 
 def l1(a: list[str], b: list[str]) -> Column:

@@ -17,7 +17,7 @@ def timestamp(text: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(F.substring(text, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
 
 
-def parse_requests(df: DataFrame, body: str = "body", session_zone_is_utc: bool = True) -> tuple[DataFrame, DataFrame]:
+def parse_requests(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Rows with a JSON body -> (valid rows with flat request columns, rejects with `reason`); other columns stay.
 
     Keys go by name. Rejected are null and oversize bodies, broken JSON and text after it, wrong types, missing or
@@ -28,7 +28,7 @@ def parse_requests(df: DataFrame, body: str = "body", session_zone_is_utc: bool
     outside = F.regexp_replace(b, r'"(?:[^"\\]|\\.)*+"', "")
     closed = F.trim(b).endswith("}") & (F.length(F.regexp_replace(outside, r"[^{]", "")) == F.length(F.regexp_replace(outside, r"[^}]", ""))) & ~outside.rlike(r"^[^{]*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*+\}\s*\S")
     r = F.from_json(b, schema, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    d = df.withColumn("_r", r)
+    d = df.withColumn("_r", F.explode(F.array(r)))  # a generator: else the filters below would each parse the text anew, field by field
     req = lambda path: F.col(f"_r.{path}")
     last = req("last_transaction")
     needed = [f"transaction.{x}" for x in ("amount", "installments", "requested_at")] + [f"customer.{x}" for x in ("avg_amount", "tx_count_24h", "known_merchants")]

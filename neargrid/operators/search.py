@@ -22,12 +22,12 @@ BOUND_WINDOW = 16
 
 def build_index(refs: DataFrame) -> DataFrame:
     """refs (ref_id, v0..v13, label) -> with key and pos, by key and ref_id."""
-    return materialise(positions(refs.select("ref_id", *VECTOR, "label").withColumn("key", morton.key(VECTOR)), ["key", "ref_id"]))
+    return materialise(positions(morton.with_key(refs.select("ref_id", *VECTOR, "label"), VECTOR), ["key", "ref_id"]))
 
 
 def as_queries(vectors: DataFrame, id_: str) -> DataFrame:
     """(id, v0..v13) -> id, q0..q13, key."""
-    return vectors.select(F.col(id_).alias("id"), *(F.col(v).alias(q) for v, q in zip(VECTOR, QUERY, strict=True)), morton.key(VECTOR).alias("key"))
+    return morton.with_key(vectors.select(F.col(id_).alias("id"), *(F.col(v).alias(q) for v, q in zip(VECTOR, QUERY, strict=True))), QUERY)
 
 
 def band(queries: DataFrame, index: DataFrame, width: int = WINDOW) -> DataFrame:

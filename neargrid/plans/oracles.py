@@ -78,11 +78,11 @@ ORACLE_SQL = {
     "q_morton_rank": f"{KEYED} SELECT ref_id, key, pos FROM r",
     "q_morton_lower_bound": f"{BOUNDED} SELECT request_id, lb FROM q",
     "q_morton_window_frame": f"{BOUNDED} SELECT q.request_id, count(*) AS n, min(r.pos) AS first_pos, max(r.pos) AS last_pos, CAST(sum(r.label) AS BIGINT) AS frauds FROM q JOIN r ON r.pos BETWEEN q.lb - 512 AND q.lb + 512 GROUP BY q.request_id",
-    "q_morton_top11": f"{TOP} SELECT request_id, rank, ref_id, d, label FROM t",
+    "q_morton_top11": f"{TOP} SELECT request_id, CAST(rank AS INTEGER) AS rank, ref_id, d, label FROM t",
     "q_morton_vote": f"{VOTE} SELECT request_id, n, frauds, reach, fast AS fast_score FROM w",
-    "q_knn5_exact": f"{EXACT} SELECT request_id, rank, ref_id, d, label FROM e",
+    "q_knn5_exact": f"{EXACT} SELECT request_id, CAST(rank AS INTEGER) AS rank, ref_id, d, label FROM e",
     "q_knn5_score": f"{EXACT} SELECT q.request_id, CAST(coalesce(sum(e.label), 0) AS INTEGER) AS frauds, coalesce(sum(e.label), 0) / 5.0::DOUBLE AS fraud_score FROM q LEFT JOIN e USING (request_id) GROUP BY q.request_id",
-    "q_knn5_pruned": f"{EXACT} SELECT request_id, rank, ref_id, d, label FROM e",
+    "q_knn5_pruned": f"{EXACT} SELECT request_id, CAST(rank AS INTEGER) AS rank, ref_id, d, label FROM e",
     "q_kd_bounds": f"{ROOT} SELECT n, {', '.join(f'min{i}, max{i}' for i in D)} FROM b",
     "q_kd_widest": f"{ROOT} SELECT CAST(dim AS INTEGER) AS dim FROM b",
     "q_kd_split": f"{ROOT} SELECT ref_id, CASE WHEN row_number() OVER (ORDER BY [{V}][dim + 1], ref_id) <= n // 2 THEN 1 ELSE 2 END::BIGINT AS node FROM r, b",

@@ -87,7 +87,7 @@ def q_quantize_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_morton_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.vectorised(fraud_requests(spark, sf_dir), "request_id").select("request_id", morton.key(VECTOR).alias("key"))
+    return morton.with_key(features.vectorised(fraud_requests(spark, sf_dir), "request_id"), VECTOR).select("request_id", "key")
 
 
 def q_morton_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
