@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ SLOTS = 1 << 16
 #: Bytes that one segment, the unit of the mixture, has about; segments end at blanks.
 SEGMENT = 48
 STEPS = 25
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32

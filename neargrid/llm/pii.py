@@ -175,7 +175,7 @@ def find_pii(docs: DataFrame, carry: list[str], precision: float = 0.9, most_vec
 
     `base` are the fixed formats that hold their rules (octets, Luhn, counts of digits). `pii` has these, and those
     proposed spans that hold no rule but score over their kind's calibrated threshold and lie in no other span.
-    Trees are fitted on format and context features of all proposals of even text checksums, with the rules as
+    Trees are fitted on format and context features of all proposals of one half of the rows (by a hash of what is carried), with the rules as
     labels (the looser `contact` spans: a rule's span overlaps them, or a word before speaks for them); thresholds
     come from the others, for each kind the least that gives `precision` there. Features are small integers, so
     that distinct vectors are few: they are counted over the whole table, and the commonest `most_vectors` reach the

@@ -21,7 +21,7 @@ def test_cases(spark):
     train = [("the and of with from", "en")] * 5 + [("der die und nicht über", "de")] * 5 + [(None, "en"), ("x", None)]
     model = langid.learn(spark.createDataFrame(train, "text string, lang string"))
     assert model[0] == ["de", "en"]
-    rows = [(1, None), (2, ""), (3, "12 34 !!"), (4, "the and of"), (4, "the and of"), (5, "über und nicht"), (6, "the and of with from " * 30 + "der die und nicht über " * 10), (7, "x" * 100_000), (None, "und")]
+    rows = [(1, None), (2, ""), (3, "12 34 !! ½ Ⅷ"), (4, "the and of"), (4, "the and of"), (5, "über und nicht"), (6, "the and of with from " * 30 + "der die und nicht über " * 10), (7, "x" * 100_000), (None, "und")]
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, score string"), model).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3, 4, 5)] == ["und", "und", "und", "en", "de"]
     assert got[1].score == 0 and got[4].score == 1
