@@ -12,11 +12,11 @@ OPTIONAL = (5, 6)
 LANES = 16
 
 
-def byte(value: Column, optional: bool) -> Column:
-    v = value.cast("int")
+def byte(column: str, optional: bool) -> str:
+    """SQL text: texts cost one call to the JVM, where a tree of columns costs one a node."""
     if optional:
-        return F.floor((F.greatest(F.least(v + 10000, F.lit(20000)), F.lit(0)) * 255 + 10000) / 20000).cast("int")
-    return F.floor((F.greatest(F.least(v, F.lit(10000)), F.lit(0)) * 255 + 5000) / 10000).cast("int")
+        return f"cast((greatest(least(cast({column} AS int) + 10000, 20000), 0) * 255 + 10000) div 20000 AS int)"
+    return f"cast((greatest(least(cast({column} AS int), 10000), 0) * 255 + 5000) div 10000 AS int)"
 
 
 def with_key(df: DataFrame, columns: list[str], name: str = "key") -> DataFrame:
@@ -27,22 +27,21 @@ def with_key(df: DataFrame, columns: list[str], name: str = "key") -> DataFrame:
     """
     assert len(columns) == DIMS
     kept = df.columns
-    df = df.select("*", *(byte(F.col(c), d in OPTIONAL).alias(f"_byte{d}") for d, c in enumerate(columns)))
-    spread = F.array(*(F.lit(sum((n >> i & 1) << (LANES * i) for i in range(4))).cast("bigint") for n in range(16)))
+    df = df.selectExpr("*", *(f"{byte(c, d in OPTIONAL)} AS _byte{d}" for d, c in enumerate(columns)))
+    table = ", ".join(f"{sum((n >> i & 1) << (LANES * i) for i in range(4))}L" for n in range(16))
 
-    def half(shift: int) -> Column:
-        out = F.lit(0).cast("bigint")
-        for d in range(DIMS):
-            out = out.bitwiseOR(F.shiftleft(F.get(spread, F.shiftright(f"_byte{d}", shift).bitwiseAND(F.lit(15))), LANES - 1 - d))
-        return F.lpad(F.hex(out), 16, "0")
+    def half(shift: int) -> str:
+        lanes = " | ".join(f"shiftleft(get(array({table}), shiftright(_byte{d}, {shift}) & 15), {LANES - 1 - d})" for d in range(DIMS))
+        return f"lpad(hex({lanes}), 16, '0')"
 
-    return df.select(*kept, F.concat(half(4), half(0)).alias(name))
+    return df.select(*kept, F.expr(f"concat({half(4)}, {half(0)})").alias(name))
 
 
 def l1(a: list[str], b: list[str]) -> Column:
     """Unrolled, so that whole-stage code has no arrays."""
-    return sum((F.abs(F.col(x).cast("int") - F.col(y).cast("int")) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return F.expr(" + ".join(f"abs(cast({x} AS int) - cast({y} AS int))" for x, y in zip(a, b, strict=True)))
 
 
 def l2(a: list[str], b: list[str]) -> Column:
-    return sum(((F.col(x).cast("bigint") - F.col(y)) * (F.col(x).cast("bigint") - F.col(y)) for x, y in zip(a, b, strict=True)), F.lit(0).cast("bigint"))
+    """Squared. power() reads a difference once, which halves the code; sums stay far below 2^53, so they are exact."""
+    return F.expr("cast(" + " + ".join(f"power(cast({x} AS int) - {y}, 2)" for x, y in zip(a, b, strict=True)) + " AS bigint)")

@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neargrid.sources.shared import materialise
 
 
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """Range-partitioned, sorted and written, with _part and _row (the place in the partition)."""
+    row = F.monotonically_increasing_id()
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", row))
+    return placed.withColumns({"_part": F.shiftright("_row", 33), "_row": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def _before(placed: DataFrame, what: Column) -> DataFrame:
+    """A row a partition: the sum of `what` over the partitions before."""
+    sums = placed.groupBy("_part").agg(F.sum(what).alias("_n"))
+    return F.broadcast(sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")))
+
+
 def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """df with its row number from 0 by `order`.
 
-    Rows are range-partitioned and sorted; a row's number is its place in the partition plus the sizes of those
-    before. Only one number a partition is gathered.
+    A row's number is its place in its partition plus the sizes of those before. Only one number a partition is
+    gathered, and what is written is what a retry reads, so the numbers hold.
     """
-    row = F.monotonically_increasing_id()
-    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", row))
-    part = F.shiftright("_row", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = placed.withColumn("_part", part).join(F.broadcast(before), "_part")  # a row a partition
-    return out.withColumn(name, F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_row", "_before")
+    placed = _placed(df, order)
+    return placed.join(_before(placed, F.lit(1)), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
 
 
 def lower_bounds(probes: DataFrame, index: DataFrame) -> DataFrame:
     """probes (id, key), index (ref_id, key) -> id, key, lb: the number of index rows with a smaller key.
 
-    A probe's place among probes and index rows together, probes first at equal keys, less its place among probes.
+    Probes and index rows are sorted together, probes first at equal keys; a probe's bound is the number of index
+    rows before it in its partition, plus those of the partitions before.
     """
-    p = probes.select("id", "key", F.lit(0).alias("side"))
-    both = positions(p.unionByName(index.select(F.col("ref_id").alias("id"), "key", F.lit(1).alias("side"))), ["key", "side", "id"], "all").where("side = 0")
-    own = positions(p, ["key", "id"], "own")
-    return both.join(own.select("id", "own"), "id").select("id", "key", (F.col("all") - F.col("own")).alias("lb"))
+    both = probes.select("id", "key", F.lit(0).alias("side")).unionByName(index.select(F.col("ref_id").alias("id"), "key", F.lit(1).alias("side")))
+    placed = _placed(both, ["key", "side", "id"])
+    inside = F.sum("side").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    found = placed.withColumn("inside", inside).where("side = 0")
+    return found.join(_before(placed, F.col("side")), "_part").select("id", "key", (F.col("_before") + F.col("inside")).alias("lb"))

@@ -22,7 +22,7 @@ BOUND_WINDOW = 16
 
 def build_index(refs: DataFrame) -> DataFrame:
     """refs (ref_id, v0..v13, label) -> with key and pos, by key and ref_id."""
-    return materialise(positions(morton.with_key(refs.select("ref_id", *VECTOR, "label"), VECTOR), ["key", "ref_id"]))
+    return positions(morton.with_key(refs.select("ref_id", *VECTOR, "label"), VECTOR), ["key", "ref_id"])
 
 
 def as_queries(vectors: DataFrame, id_: str) -> DataFrame:
@@ -30,12 +30,17 @@ def as_queries(vectors: DataFrame, id_: str) -> DataFrame:
     return morton.with_key(vectors.select(F.col(id_).alias("id"), *(F.col(v).alias(q) for v, q in zip(VECTOR, QUERY, strict=True))), QUERY)
 
 
+def with_bounds(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """queries with lb, unless they have it."""
+    return queries if "lb" in queries.columns else queries.join(lower_bounds(queries.select("id", "key"), index).select("id", "lb"), "id")
+
+
 def band(queries: DataFrame, index: DataFrame, width: int = WINDOW) -> DataFrame:
     """queries (id, q0..q13, key) with every index row at positions lb - width .. lb + width, lb the key's lower bound.
 
     Positions are cut into runs of `width`; a query meets its three runs at most in an equi-join.
     """
-    probed = queries.join(lower_bounds(queries.select("id", "key"), index).select("id", "lb"), "id")
+    probed = with_bounds(queries, index)
     first, last = F.floor(F.greatest(F.col("lb") - width, F.lit(0)) / width), F.floor((F.col("lb") + width) / width)
     probed = probed.drop("key").withColumn("run", F.explode(F.sequence(first, last)))
     rows = index.select("ref_id", *VECTOR, "label", "pos").withColumn("run", F.floor(F.col("pos") / width))
@@ -76,12 +81,8 @@ def box_levels(index: DataFrame, fan: int = FAN) -> list[DataFrame]:
 
 def box_distance(q: list[str], least: bool = True) -> Column:
     """Squared distance from a query to a box: to its nearest point, or to its farthest corner."""
-    out = F.lit(0).cast("bigint")
-    for i, c in enumerate(q):
-        x, lo, hi = (F.col(n).cast("bigint") for n in (c, f"min{i}", f"max{i}"))
-        d = F.greatest(lo - x, x - hi, F.lit(0).cast("bigint")) if least else F.greatest(x - lo, hi - x)
-        out = out + d * d
-    return out
+    part = "greatest(cast(min{i} AS int) - {c}, cast({c} AS int) - max{i}, 0)" if least else "greatest(cast({c} AS int) - min{i}, cast(max{i} AS int) - {c})"
+    return F.expr(" + ".join(f"power({part.format(i=i, c=c)}, 2)" for i, c in enumerate(q)))
 
 
 def knn_exact(queries: DataFrame, index: DataFrame, k: int = EXACT_K, levels: list[DataFrame] | None = None) -> DataFrame:

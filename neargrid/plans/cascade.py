@@ -16,10 +16,10 @@ def decide(vectors: DataFrame, index: DataFrame, levels: list[DataFrame] | None
     Equal vectors are searched once, which also keeps a vector that very many requests share from being a hot key.
     The window's result is written before the undecided rows are taken from it, so neither branch computes it twice.
     """
-    vectors = materialise(vectors.select("request_id", *VECTOR))
-    distinct = materialise(search.as_queries(vectors.groupBy(*VECTOR).agg(F.min("request_id").alias("id")), "id"))
+    vectors = materialise(vectors.select("request_id", *VECTOR))  # else each join on the 14 columns computes them anew
+    distinct = materialise(search.with_bounds(search.as_queries(vectors.groupBy(*VECTOR).agg(F.min("request_id").alias("id")), "id"), index))
     voted = materialise(distinct.select("id").join(search.window_vote(search.window_top(distinct, index)), "id", "left").select("id", "fast_score"))
-    residue = materialise(distinct.join(voted.where("fast_score IS NULL").select("id"), "id", "left_semi"))
+    residue = distinct.join(voted.where("fast_score IS NULL").select("id"), "id", "left_semi")
     exact = search.exact_votes(residue, search.knn_exact(residue, index, levels=levels))
     fast = voted.where("fast_score IS NOT NULL").select("id", F.lit(None).cast("int").alias("frauds"), F.col("fast_score").alias("fraud_score"), F.lit("Morton").alias("source"))
     scored = fast.unionByName(exact.withColumn("source", F.lit("KdTree")))

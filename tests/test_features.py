@@ -77,8 +77,8 @@ def test_timestamp(spark):
 
 def test_morton_bytes(spark):
     d = spark.createDataFrame([(v,) for v in (-10000, 0, 5000, 10000)], "v int")
-    assert [r[0] for r in d.select(morton.byte(F.col("v"), False)).collect()] == [0, 0, 128, 255]
-    assert [r[0] for r in d.select(morton.byte(F.col("v"), True)).collect()] == [0, 128, 191, 255]
+    assert [r[0] for r in d.selectExpr(morton.byte("v", False)).collect()] == [0, 0, 128, 255]
+    assert [r[0] for r in d.selectExpr(morton.byte("v", True)).collect()] == [0, 128, 191, 255]
 
 
 def key_of(v):
