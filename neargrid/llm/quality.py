@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from neargrid.llm.common import stored
 
-#: Hashed n-grams of N bytes; slots of each model.
-N, SLOTS = 3, 1 << 16
+#: Hashed n-grams of N bytes; slots of each model. Two more slots count word bigrams of equal and of different words.
+N, HASHED = 3, 1 << 16
+SLOTS = HASHED + 2
 #: Labelled rows that the target model and the threshold are fitted on at most, least hashes first.
 LABELLED = 20_000
 #: Bins of one step of the search for the k-th key.
@@ -20,11 +22,15 @@ BINS = 4096
 
 
 def grams(raw: bytes) -> np.ndarray:
-    """The slot of each run of N bytes; case and marks count."""
+    """The slot of each run of N bytes, and of each pair of words; case and marks count."""
     b = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
     mix = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
     h = sum(b[i : len(b) - N + 1 + i] * np.uint32(mix[i]) for i in range(N))
-    return ((h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)) >> np.uint32(16)
+    words = raw.split()
+    again = sum(map(operator.eq, words, words[1:]))
+    pairs = np.full(max(0, len(words) - 1), HASHED, np.uint32)
+    pairs[again:] += np.uint32(1)
+    return np.concatenate([((h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)) >> np.uint32(16), pairs])
 
 
 def _blank(text: Column) -> Column:
@@ -94,7 +100,7 @@ def _kth(rows: DataFrame, key: str, k: int) -> float:
 def resample(docs: DataFrame, labels: DataFrame, carry: list[str], fraction: float | None = None, temperature: float = 0.1, keep: float = 0.995, seed: int = 4) -> DataFrame:
     """docs (doc_id, text, ...), labels (doc_id, quality, ...) -> row (struct of `carry`), log_weight, key, sampled.
 
-    Both models are bags of hashed byte n-grams: the target's from documents labelled of quality 1 (LABELLED labelled
+    Both models are bags of hashed byte n-grams and of equal or different neighbouring words: the target's from documents labelled of quality 1 (LABELLED labelled
     rows at most, the documented bound), the raw one's from all documents. A text's log importance weight is the sum
     of its grams' log-ratios, less `bar` a gram: the mean log-ratio that parts the labelled rows best while `keep` of
     the good ones stay over it. Keys are weights over `temperature` plus Gumbel noise from a hash of the row, and the

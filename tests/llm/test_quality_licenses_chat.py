@@ -23,7 +23,7 @@ def test_quality_on_held_out_labels(spark):
     assert out.count() == docs.count()
     rows = out.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     good, bad = ([r.sampled for r in rows if r.quality == q] for q in (1, 0))
-    assert np.mean(good) > 0.97 and np.mean(bad) < 0.1, (np.mean(good), np.mean(bad))
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.05, (np.mean(good), np.mean(bad))
 
 
 def test_quality_cases(spark):
