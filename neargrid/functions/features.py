@@ -23,13 +23,17 @@ QUANTUM = 10000
 
 def clamped(x: Column) -> Column:
     """To [0, 1] in single precision; NaN is 0, as it would be once quantised."""
-    return F.when(F.isnan(x), 0.0).otherwise(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))).cast("float")
+    return F.greatest(F.least(F.nanvl(x, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).cast("float")
 
 
 def quantised(x: Column) -> Column:
-    """Half away from zero, in single precision; out of range saturates, NaN is 0."""
-    scaled = F.round(x.cast("float") * F.lit(QUANTUM).cast("float"))
-    return F.when(F.isnan(scaled), 0.0).otherwise(F.greatest(F.least(scaled, F.lit(32767.0)), F.lit(-32768.0))).cast("smallint")
+    """Half away from zero, in single precision; out of range saturates, NaN is 0.
+
+    Half is added to the single-precision product in double, which is exact, and the cast cuts: no decimal rounding.
+    """
+    scaled = F.nanvl((x.cast("float") * F.lit(QUANTUM).cast("float")).cast("double"), F.lit(0.0))
+    bounded = F.greatest(F.least(scaled, F.lit(32767.0)), F.lit(-32768.0))
+    return (bounded + F.signum(bounded) * 0.5).cast("int").cast("smallint")
 
 
 def quantised_columns(vector: str) -> list[Column]:

@@ -22,7 +22,8 @@ BOUND_WINDOW = 16
 
 def build_index(refs: DataFrame) -> DataFrame:
     """refs (ref_id, v0..v13, label) -> with key and pos, by key and ref_id."""
-    return positions(morton.with_key(refs.select("ref_id", *VECTOR, "label"), VECTOR), ["key", "ref_id"])
+    refs = materialise(refs.select("ref_id", *VECTOR, "label"))  # a range partitioning reads its input twice
+    return positions(morton.with_key(refs, VECTOR), ["key", "ref_id"])
 
 
 def as_queries(vectors: DataFrame, id_: str) -> DataFrame:
@@ -35,6 +36,11 @@ def with_bounds(queries: DataFrame, index: DataFrame) -> DataFrame:
     return queries if "lb" in queries.columns else queries.join(lower_bounds(queries.select("id", "key"), index).select("id", "lb"), "id")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Over all shuffle partitions, however few bytes: each row stands for very many pairs, which bytes don't tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def band(queries: DataFrame, index: DataFrame, width: int = WINDOW) -> DataFrame:
     """queries (id, q0..q13, key) with every index row at positions lb - width .. lb + width, lb the key's lower bound.
 
@@ -42,7 +48,7 @@ def band(queries: DataFrame, index: DataFrame, width: int = WINDOW) -> DataFrame
     """
     probed = with_bounds(queries, index)
     first, last = F.floor(F.greatest(F.col("lb") - width, F.lit(0)) / width), F.floor((F.col("lb") + width) / width)
-    probed = probed.drop("key").withColumn("run", F.explode(F.sequence(first, last)))
+    probed = spread(probed.drop("key").withColumn("run", F.explode(F.sequence(first, last))), "run")
     rows = index.select("ref_id", *VECTOR, "label", "pos").withColumn("run", F.floor(F.col("pos") / width))
     return probed.join(rows, "run").where(F.col("pos").between(F.col("lb") - width, F.col("lb") + width))
 
@@ -102,7 +108,7 @@ def knn_exact(queries: DataFrame, index: DataFrame, k: int = EXACT_K, levels: li
         child = level.withColumn("up", F.lit(0).cast("bigint") if not depth else F.floor(F.col("node") / FAN))
         live = live.join(child, "up").where(within).select("id", *QUERY, "bound", F.col("node").alias("up"))
     rows = index.select("ref_id", *VECTOR, "label", F.floor(F.col("pos") / FAN).alias("up"))
-    pairs = live.join(rows, "up").select("id", "ref_id", morton.l2(VECTOR, QUERY).alias("d"), "label", "bound").where("bound IS NULL OR d <= bound")
+    pairs = spread(live, "up").join(rows, "up").select("id", "ref_id", morton.l2(VECTOR, QUERY).alias("d"), "label", "bound").where("bound IS NULL OR d <= bound")
     return _top(pairs.drop("bound"), k, "d", "ref_id")
 
 
