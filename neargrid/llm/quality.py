@@ -110,22 +110,24 @@ def resample(docs: DataFrame, labels: DataFrame, carry: list[str], fraction: flo
     Null, empty and blank texts weigh nothing (null) and are never sampled. Without labels of both kinds every other
     text is sampled. Rows that tie for the last place, such as repeated rows, are sampled together. An empty table
     gives no rows. Labels without a document count for nothing; with several labels of one document the best holds;
+    of several texts with one labelled id the least mean log-ratio stands for the id where the threshold is set;
     other columns, whatever their names, are carried only if asked for. Texts are read twice, whole, and not
     shuffled; the k-th key is found by counting.
     """
     known = _labelled(docs, labels)
     source = docs.select(F.struct(*(docs[c] for c in carry)).alias("row"), docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("text"), F.xxhash64(docs["doc_id"], docs["text"], F.lit(seed)).alias("noise"))
-    source = source.join(known, "_id", "left").select("row", "text", F.col("_quality").alias("quality"), "noise")
+    source = source.join(known, "_id", "left").select("row", "text", F.col("_quality").alias("quality"), "noise", F.when(F.col("_quality").isNotNull(), F.xxhash64("_id")).alias("id"))
     spread = docs.sparkSession.sparkContext.broadcast(_models(source.select("text", "quality")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = spread.value
         for b in batches:
             found = [(float(ratio[g].sum()), len(g)) if t is not None and t.strip() else (None, 0) for t in b.column(1).cast(pa.binary()).to_pylist() for g in [grams(t or b"")]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64())], names=["row", "quality", "noise", "ratio", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64())], names=["row", "quality", "noise", "id", "ratio", "n"])
 
-    rows = stored(source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, quality int, noise bigint, ratio double, n bigint"))
-    seen = rows.where("quality IS NOT NULL AND ratio IS NOT NULL").select("quality", (F.col("ratio") / F.col("n")).alias("mean")).toArrow()  # LABELLED rows at most, if ids are not repeated
+    rows = stored(source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, quality int, noise bigint, id bigint, ratio double, n bigint"))
+    # a row for each labelled id, however often the id comes: LABELLED rows at most
+    seen = rows.where("quality IS NOT NULL AND ratio IS NOT NULL").groupBy("id", "quality").agg(F.min(F.col("ratio") / F.col("n")).alias("mean")).select("quality", "mean").toArrow()
     quality, mean = seen.column("quality").to_numpy(), seen.column("mean").to_numpy()
     bar = _threshold(mean[quality == 1], mean[quality != 1], keep)
     even = F.shiftrightunsigned("noise", 11).cast("double") / float(1 << 53) + 1e-17

@@ -37,6 +37,13 @@ def test_quality_cases(spark):
     assert quality.select_good(docs, none).columns == docs.columns
 
 
+def test_quality_of_one_id_with_many_texts(spark):
+    rows = [(1, "plain good words here")] + [(4, f"BAD!! BAD!! BAD!! {i}") for i in range(40)] + [(4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = quality.resample(docs, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int"), ["doc_id"]).collect()
+    assert len(got) == len(rows) and [r.sampled for r in got if r.row.doc_id == 1] == [True]
+
+
 def test_kth_key(spark):
     x = [random.Random(1).gauss(0, 5) for _ in range(5000)] + [1.5] * 50
     rows = spark.createDataFrame([(v,) for v in x], "key double")
