@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from neargrid.llm.common import stored
 
-#: Hashed n-grams of N bytes; slots of each model. Two more slots count word bigrams of equal and of different words.
+#: Hashed n-grams of N bytes; slots of each model. Two more slots count bytes of words that equal the word before, and of others.
 N, HASHED = 3, 1 << 16
 SLOTS = HASHED + 2
 #: Labelled rows that the target model and the threshold are fitted on at most, least hashes first.
@@ -22,13 +22,13 @@ BINS = 4096
 
 
 def grams(raw: bytes) -> np.ndarray:
-    """The slot of each run of N bytes, and of each pair of words; case and marks count."""
+    """The slot of each run of N bytes, and of each pair of words, as often as the second has bytes; case and marks count."""
     b = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
     mix = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
     h = sum(b[i : len(b) - N + 1 + i] * np.uint32(mix[i]) for i in range(N))
     words = raw.split()
-    again = sum(map(operator.eq, words, words[1:]))
-    pairs = np.full(max(0, len(words) - 1), HASHED, np.uint32)
+    again = sum(map(operator.mul, map(operator.eq, words, words[1:]), map(len, words[1:])))
+    pairs = np.full(sum(map(len, words[1:])), HASHED, np.uint32)
     pairs[again:] += np.uint32(1)
     return np.concatenate([((h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)) >> np.uint32(16), pairs])
 
