@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
         found = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     ones = np.zeros(64, np.int64)
     for _ in range(0, n, 1 << 16):
-        part = np.fromiter((digest(s, 42) for s, _ in zip(found, range(1 << 16))), np.uint64)  # noqa: B905
+        part = np.fromiter((digest(s, 42) for s in islice(found, 1 << 16)), np.uint64)
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 

@@ -47,6 +47,17 @@ def test_long_text_in_parts():
     assert simhash(t.encode()) == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+def test_every_shingle_of_long_texts_counts():
+    half = False
+    for k, n in ((5, 65_540), (44, 65_539), (18, 70_001), (15, 131_080), (1, 65_540), (23, 131_080)):
+        words = [str(k * 7919 + i) for i in range(n)]
+        h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(n - 2)], np.uint64)
+        ones = [int((h >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+        half |= any(2 * c == len(h) for c in ones)
+        assert simhash(" ".join(words).encode()) == sum(1 << b for b in range(64) if 2 * ones[b] > len(h)), (k, n)
+    assert half  # a bit of exactly half stays 0
+
+
 def test_trie_pairs():
     rnd = np.random.default_rng(0)
     centre = rnd.integers(0, 2**63, 8, dtype=np.uint64)
