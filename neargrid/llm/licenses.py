@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neargrid.llm.common import UPPER, ascii_lower
+from neargrid.llm.common import UPPER
 
-#: Sentences of public licence texts and notices, normalised (see `normalised`), by identifier.
+#: Sentences of public licence texts and notices, lower case without punctuation, by identifier.
 SENTENCES = {
     "mit.notice": "released under the mit license",
     "mit.notice2": "licensed under the mit license",
@@ -71,13 +71,31 @@ RULES = (
     ("CC-BY-ND-4.0", "ccbynd.notice"), ("CC-BY-NC-4.0", "ccbync.notice"), ("CC-BY-SA-4.0", "ccbysa.notice"), ("CC-BY-4.0", "ccby.notice"), ("CC0-1.0", "cc0.notice"),
     ("Unlicense", "unlicense.notice"), ("proprietary", "rights.reserved"),
 )
-#: Where sentences end.
+#: Where sentences end, in the SQL.
 END = r"[.!?;:]+[ \t\r\n]+|[\r\n]+"
 ODD = r"[^a-z0-9.]+"
+#: The scan also finds what END cuts: line ends, ';' and ':' may stand in a known sentence, and HARD cuts only where the sentence has them.
+HARD = r"[.!?][;:]*[ \t\r\n]+|(?:\r\n?+|\n)[ \t]*+[\r\n][ \t\r\n]*"
+SOFT = r"[;:][ \t]+|[\r\n]+"
+CUTS = {"v. 2.0": "v|2.0", " at http ": " at|http "}
+#: Besides RULES.
+ALONE = (("MPL-2.0", "mpl2.copy"),)
 
 
-def normalised(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(sentence, ODD, " "), F.lit(" ."))
+def _body(sentence: str) -> str:
+    """A pattern for a known sentence in a text that `marked` gave."""
+    for plain, hard in CUTS.items():
+        sentence = sentence.replace(plain, hard)
+    out = sentence.replace(".", r"\.").replace(" ", "[ ~]").replace("|", "[ ~|]")
+    return out.replace("http[", "https?[")
+
+
+def marked(text: Column) -> Column:
+    """Words by single blanks, '|' where sentences end for certain and '~' where they may, both without blanks beside them."""
+    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER + "|~", UPPER.lower() + ",,")
+    t = F.regexp_replace(F.regexp_replace(t, HARD, "|"), SOFT, "~")
+    t = F.concat(F.lit("|"), F.regexp_replace(t, r"[^a-z0-9.|~]+", " "), F.lit("|"))
+    return F.regexp_replace(F.regexp_replace(t, r"(?<![ .~])[ .~]*+\|[ .~|]*", "|"), r"(?<![ .])[ .]*+~[ .~]*", "~")
 
 
 def _words(rule: tuple[str, ...]) -> str:
@@ -88,19 +106,22 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> one row per row: doc_id, n_known, sentences, licenses, n_licenses.
 
     `sentences` are the identifiers of the known sentences in order, `licenses` those of the rules that match, in
-    order of their first match, once each; both are joined by commas. A rule matches identifiers that follow each
-    other among the known sentences, whatever unknown ones stand between; at each place the first rule that matches
-    takes its identifiers, and later matches start after them. Null and empty texts have neither. Repeated rows
-    keep a row each; an empty table gives none; other columns are ignored. The known sentences are fixed, so nothing
-    that is sent along grows with the data, and no text is shuffled.
+    order of their first match, once each; both are joined by commas. A sentence may be wrapped: a single line end is a
+    blank in it, and blank lines end it; of sentences that start at one place the longest counts. A rule matches
+    identifiers that follow each other among the known sentences, whatever unknown ones stand between; at each place
+    the first rule that matches takes its identifiers, and later matches start after them. Null and empty texts have
+    neither. Repeated rows keep a row each; an empty table gives none; other columns are ignored. The known sentences
+    are fixed, so nothing that is sent along grows with the data, and no text is shuffled.
     """
-    text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    known = F.filter(F.transform(F.split(text, END), normalised), lambda s: s.isin(*SENTENCES.values()))
-    name = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in reversed(pair)))
-    d = docs.select("doc_id", F.transform(known, lambda s: F.element_at(name, s)).alias("ids"))
+    bodies = "|".join(_body(s) for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    known = F.regexp_extract_all(marked(F.col("text")), F.lit(f"(?<=[|~])({bodies})(?=[|~])"), F.lit(1))
+    plain = lambda s: F.regexp_replace(F.regexp_replace(s, "[|~]", " "), " https ", " http ")
+    name = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (v.replace("v. 2.0", "v 2.0"), k)))
+    d = docs.select("doc_id", F.transform(known, lambda s: F.element_at(name, plain(s))).alias("ids"))
+    rules = RULES + ALONE
     sequence = F.concat(F.lit(""), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
-    pattern = "|".join(_words(r).replace(".", r"\.") for r in RULES)
-    license_ = F.create_map(*(F.lit(x) for r in RULES for x in (_words(r), r[0])))
+    pattern = "|".join(_words(r).replace(".", r"\.") for r in rules)
+    license_ = F.create_map(*(F.lit(x) for r in rules for x in (_words(r), r[0])))
     found = F.array_distinct(F.transform(F.regexp_extract_all(sequence, F.lit(f"({pattern})"), F.lit(1)), lambda m: F.element_at(license_, m)))
     d = d.withColumn("found", F.when(F.size("ids") > 0, found).otherwise(F.array().cast("array<string>")))
     return d.select("doc_id", F.size("ids").cast("bigint").alias("n_known"), F.array_join("ids", ",").alias("sentences"), F.array_join("found", ",").alias("licenses"), F.size("found").cast("bigint").alias("n_licenses"))

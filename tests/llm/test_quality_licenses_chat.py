@@ -63,6 +63,73 @@ def test_licenses(spark, monkeypatch):
     assert sorted(map(tuple, queries.op8_licenses(spark, SF).collect()), key=str) == real and any(r[4] for r in real)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE2 = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law"""
+
+
+def test_wrapped_licenses(spark):
+    gpl2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    comment = "\n".join(f" * {line}" for line in MIT.splitlines())
+    mit = "mit.grant,mit.keep,mit.asis"
+    cases = [
+        (MIT, mit, "MIT"), (MIT.replace("\n", "\r\n"), mit, "MIT"), (comment, mit, "MIT"),
+        (BSD3, "bsd.grant,bsd.source,bsd.binary,bsd.names", "BSD-3-Clause"),
+        (GPL3, "gpl.free,gpl.hope", "GPL-3.0-or-later"), (" ".join(GPL3.split()), "gpl.free,gpl.hope", "GPL-3.0-or-later"), (gpl2, "gpl2.free,gpl.hope", "GPL-2.0-or-later"),
+        (MPL2, "mpl2.notice,mpl2.copy", "MPL-2.0"), (MPL2[MPL2.index("If") :], "mpl2.copy", "MPL-2.0"),
+        (APACHE2, "apache2.notice2,apache2.comply,apache2.copy", "Apache-2.0"),
+        ("Released under the\n\nMIT License", "mit.title", "MIT"), ("Released under the\r\nMIT | License ~\n \t\r\nfoo", "mit.notice", "MIT"),
+        ("Released under the. MIT licenses\n" + "." * 50_000 + " " * 50_000 + "x", "", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    assert [(r.sentences, r.licenses) for r in licenses.scan(docs).orderBy("doc_id").collect()] == [tuple(c[1:]) for c in cases]
+
+
 def test_chat(spark):
     rnd = random.Random(2)
     base = [[("user", rnd.choice("ab")), ("assistant", rnd.choice("cd")), ("user", rnd.choice("ef")), ("assistant", "g")][: rnd.randrange(1, 5)] for _ in range(40)]
