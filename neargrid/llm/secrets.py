@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,6 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 CANDIDATE = re.compile("[A-Za-z0-9+/_-]{20,}={0,2}")
-ALNUM = re.compile("[^A-Za-z0-9]+")
 #: Alphabets by which a token is read, the narrowest first; each symbol's value is its place.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -32,6 +31,13 @@ VALUES["base64"] |= {"-": 62, "_": 63}
 STRATA = (20, 32, 48, 96)
 #: Lengths at which ordinary text is measured, one for each stratum.
 NULL_LENGTHS = (24, 40, 64, 128)
+#: Moments of ordinary text where a table has fewer than LEAST stretches of a length.
+FALLBACK, LEAST = (3.5, 0.5), 30
+#: Letters and digits of UTF-8 text to their values; all other bytes go.
+TO_VALUE = bytes(VALUES["base64"].get(chr(b), 0) for b in range(256))
+ODD = bytes(b for b in range(256) if not (b < 128 and chr(b).isalnum()))
+#: Symbols that `stretches` reads at once.
+CHUNK = 1 << 18
 CANDIDATE_TYPE = "array<struct<start:int,end:int,stratum:int,alphabet:string,n:int,t:double,fits:boolean>>"
 
 
@@ -106,13 +112,40 @@ def candidates(text: str, words: list[str]) -> list[dict]:
     return found
 
 
-def ordinary(text: str, words: list[str]) -> list[float | None]:
-    """The battery's sum on the document's own words, joined from a place that the text's checksum picks, per length."""
-    start = zlib.crc32(text.encode()) % len(words) if words else 0
-    line = ALNUM.sub("", "".join(words[start : start + NULL_LENGTHS[-1]] or words))
-    if len(line) < NULL_LENGTHS[-1]:
-        line += ALNUM.sub("", "".join(words[:start][: NULL_LENGTHS[-1]]))
-    return [math.log(sum(battery(line[:n], "base64")) + 0.1) if len(line) >= n else None for n in NULL_LENGTHS]
+def stretches(v: np.ndarray) -> np.ndarray:
+    """log of the battery's sum for each row of base64 values, as `battery` has it for one token."""
+    size, n = 64, v.shape[1]
+    bins = max(2, min(size, 1 << max(0, (n // 5).bit_length() - 1)))
+    place = (v // (size // bins)).astype(np.int64) + np.arange(len(v))[:, None] * bins
+    count = np.bincount(place.ravel(), minlength=len(v) * bins).reshape(-1, bins)
+    chi, df = np.maximum((count * count).sum(axis=1) * bins / n - n, 0.0), bins - 1
+    z = ((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df))
+    half = v >= size // 2
+    high = half.sum(axis=1)
+    mean = 2 * high * (n - high) / n + 1
+    var = np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+    runs = 1 + (half[:, 1:] != half[:, :-1]).sum(axis=1)
+    r = np.where((high > 0) & (high < n), (runs - mean) / np.sqrt(var), math.sqrt(n))
+    d = v - v.mean(axis=1, keepdims=True)
+    s = (d * d).sum(axis=1)
+    c = np.where(s > 0, (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.where(s > 0, s, 1.0) * math.sqrt(n), math.sqrt(n))
+    return np.log(np.maximum(z, 0.0) ** 2 + r * r + c * c + 0.1)
+
+
+def ordinary(texts: list[bytes]) -> list[float]:
+    """Count, sum and sum of squares of `stretches` for each length, over all consecutive stretches of every text's letters and digits.
+
+    A stretch lies in one text; what is left at its end, under one length, is not measured at that length.
+    """
+    lines, out = [t.translate(TO_VALUE, ODD) for t in texts], []
+    for n in NULL_LENGTHS:
+        v = np.frombuffer(b"".join(line[: len(line) // n * n] for line in lines), np.uint8).reshape(-1, n)
+        total = np.zeros(3)
+        for at in range(0, len(v), CHUNK // n):
+            t = stretches(v[at : at + CHUNK // n])
+            total += len(t), t.sum(), (t * t).sum()
+        out += total.tolist()
+    return out
 
 
 def _scan(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -122,14 +155,15 @@ def _scan(docs: DataFrame, carry: list[str]) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                base, found, null, chars = [], [], [], []
+                base, found, chars, raws = [], [], [], []
                 for text in part.column(1).to_pylist():
                     text = text or ""
                     words, raw = text.split(), text.encode()
                     base.append([{"kind": k, "start": s, "end": e} for k, s, e in base_spans(text, words)])
                     found.append(candidates(text, words))
-                    null.append(ordinary(text, words))
+                    raws.append(raw)
                     chars.append([len(raw) - len(raw.translate(None, s)) for s in sets.values()])
+                null = [ordinary(raws), *[None] * (part.num_rows - 1)]  # one row has the sums of all
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip((base, found, null, chars), kinds, strict=True))], names=["row", "base", "found", "null", "chars"])
 
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -147,7 +181,7 @@ def find_secrets(docs: DataFrame, carry: list[str], q: float = 0.01) -> DataFram
     exclusive. A token of 20 symbols and more of the base64 alphabets is read by the narrowest alphabet that has all
     its symbols. It is a secret if chi-squared uniformity, runs and serial correlation all fit randomness, and if
     ordinary text would hardly look as random. That p-value is the lower tail of the tests' sum on ordinary text,
-    log-normal with moments measured on every document's own words at the token's length, times the chance that so
+    log-normal with moments measured at the token's length on all stretches of all texts (FALLBACK under LEAST of them), times the chance that so
     many ordinary characters are all of the narrow alphabet. Within each stratum of lengths, Benjamini and Hochberg's
     rule over all candidates of the table keeps the share of false discoveries under `q`; it works on a histogram of
     tenths of -log10 p, rounded to the safe side. Tokens inside a base span add nothing.
@@ -157,9 +191,11 @@ def find_secrets(docs: DataFrame, carry: list[str], q: float = 0.01) -> DataFram
     """
     rows = stored(_scan(docs, carry))
     parts = range(len(STRATA))
-    sums = [f(F.get("null", i)) for i in parts for f in (F.count, F.avg, F.stddev_pop)]
+    sums = [F.sum(F.get("null", i)) for i in range(3 * len(STRATA))]
     seen = rows.agg(*(s.alias(f"s{k}") for k, s in enumerate(sums)), *(F.sum(F.get("chars", i)).alias(f"c{i}") for i in range(len(ALPHABETS)))).first()
-    moments = [(seen[3 * i + 1], max(seen[3 * i + 2], 0.05)) if (seen[3 * i] or 0) >= 30 else (3.5, 0.5) for i in parts]
+    moments = []
+    for n, total, squares in (seen[3 * i : 3 * i + 3] for i in parts):
+        moments.append((total / n, max(math.sqrt(max(squares / n - (total / n) ** 2, 0.0)), 0.05)) if (n or 0) >= LEAST else FALLBACK)
     counts = dict(zip(ALPHABETS, seen[3 * len(STRATA) :], strict=True))
     every = max(counts["base64"] or 0, 1)
     rarity = {name: -math.log10(min(1.0, ((counts[name] or 0) + 1) / (every + 1))) for name in ("hex", "hex_upper", "base32")}

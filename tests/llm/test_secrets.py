@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -63,3 +64,15 @@ def test_battery_tells_random_from_prose():
     assert sum(random_fits) >= 290
     t = "internationalisationofordinarytextflowshere"
     assert max(secrets.battery(t, "base64")) > 10
+
+
+def test_all_of_a_text_is_measured(monkeypatch):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["été", "Text-flows", "hier", "1234", rnd.randbytes(4).hex()]) for _ in range(n)) for n in (0, 3, 40, 5000)] + ["a" * 300]
+    monkeypatch.setattr(secrets, "CHUNK", 1000)
+    got = secrets.ordinary([t.encode() for t in texts])
+    for k, n in enumerate(secrets.NULL_LENGTHS):
+        lines = [re.sub("[^A-Za-z0-9]", "", t) for t in texts]
+        want = [math.log(sum(secrets.battery(x[i : i + n], "base64")) + 0.1) for x in lines for i in range(0, len(x) - n + 1, n)]
+        assert got[3 * k] == len(want) > 100
+        assert math.isclose(got[3 * k + 1], sum(want)) and math.isclose(got[3 * k + 2], sum(w * w for w in want))
