@@ -12,11 +12,13 @@ from neargrid.plans.cascade import decide
 
 
 def score_stream(requests: DataFrame, index: DataFrame, levels: list[DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Stream of `body` -> Parquet of decisions under `out`, one folder a micro-batch, so that a replayed batch
-    overwrites its own. Top-k and ranks are not allowed on unbounded frames; each micro-batch is a bounded one."""
+    """Stream of `body` -> Parquet of decisions under `out` and of rejects (body, reason) under `out`-rejects, one folder
+    a micro-batch, so that a replayed batch overwrites its own. Top-k and ranks are not allowed on unbounded frames;
+    each micro-batch is a bounded one."""
 
     def batch(df: DataFrame, number: int) -> None:
-        valid, _ = parse_requests(df)
+        valid, rejects = parse_requests(df)
+        rejects.write.mode("overwrite").parquet(f"{out}-rejects/batch={number}")
         flat = valid.withColumn("request_id", F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint"))
         decide(vectorised(flat, "request_id"), index, levels).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
