@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -37,11 +38,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(*path: str) -> Column:
+    """A column or field by its exact name, dots and backticks included."""
+    return F.col(".".join(f"`{p.replace('`', '``')}`" for p in path))
+
+
+def fields(names: list[str]) -> Column:
+    """A struct of these columns; of a constant if there are none."""
+    return F.struct(*(quoted(c).alias(c) for c in names)) if names else F.struct(F.lit(0).alias("_"))
+
+
+def row_schema(row: T.DataType, rest: str) -> T.StructType:
+    """`row` and the fields of a DDL text; field names of `row` may hold any character."""
+    return T.StructType([T.StructField("row", row), *T.StructType.fromDDL(rest).fields])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else, unlike lower()."""
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def row_key(*columns: str) -> Column:
-    """128 bits of the given columns: a key for a row that holds after a reread, unlike a running number."""
-    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+def row_key(*columns: str) -> list[Column]:
+    """k1, k2: 128 bits of the given columns, a key for a row that holds after a reread, unlike a running number."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).alias("k2")]

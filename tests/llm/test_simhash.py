@@ -1,8 +1,11 @@
 import random
+from collections import Counter
 
+import neargrid.llm.simhash as m
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 import xxhash
-
 from neargrid.llm.simhash import near_duplicates, simhash, trie_classes
 
 
@@ -69,18 +72,65 @@ def test_trie_pairs():
         if (new == want).all():
             break
         want = new
-    assert (trie_classes(x, [(0, len(x), 0, len(x))], 3) == want).all()
+    assert (trie_classes(x, [(0, len(x), 0, len(x), 0, 0)], 3) == want).all()
     half = len(x) // 2
     y = np.concatenate([np.sort(x[:half]), np.sort(x[half:])])
-    got = trie_classes(y, [(0, half, half, len(x)), (0, half, 0, half), (half, len(x), half, len(x))], 3)
+    got = trie_classes(y, [(0, half, half, len(x), 0, 0), (0, half, 0, half, 0, 0), (half, len(x), half, len(x), 0, 0)], 3)
     assert (got == want).all()
 
 
-def test_hot_group_is_split(spark, monkeypatch):
-    import neargrid.llm.simhash as m
-
-    monkeypatch.setattr(m, "CELL", 4)
-    fps = sorted({(0x123456789ABCDEF0 ^ (1 << i) ^ (1 << j)) for i in range(16) for j in range(16)})
-    edges = m.near_edges(spark.createDataFrame([(f,) for f in fps], "fp long"))
-    got = m.connected_components(edges).collect()
-    assert {r.node for r in got} == set(fps) and len({r.root for r in got}) == 1
+def links(x):
+    x = np.array(x, np.uint64)
+    return {(int(a), int(b)) for i, a in enumerate(x) for b in x[i + 1 :][np.bitwise_count(x[i + 1 :] ^ a) <= 3]}
+
+
+def classes(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("cell, step", [(4, 6), (64, 2), (1 << 14, 6)])
+def test_dealt_tries_against_brute_force(spark, monkeypatch, cell, step):
+    monkeypatch.setattr(m, "CELL", cell)
+    monkeypatch.setattr(m, "STEP", step)
+    monkeypatch.setattr(m, "GATHER", 50)
+    rnd = random.Random(5)
+    hot = [0xF23456789ABCDEF0 ^ (1 << i) ^ (1 << j) for i in range(0, 64, 5) for j in range(0, 64, 7)]
+    far = [rnd.getrandbits(64) for _ in range(150)]
+    fps = sorted({0, 2**64 - 1, *hot, *far, *(f ^ sum({1 << rnd.randrange(64) for _ in range(rnd.randrange(1, 5))}) for f in far)})
+    frame = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    pairs = [(r.u % 2**64, r.v % 2**64) for r in m.near_edges(frame).collect()]
+    want = links(fps)
+    assert {(min(p), max(p)) for p in pairs} and classes(fps, pairs) == classes(fps, want)
+    # each near pair of nodes is dealt to just one task
+    met = {}
+    for depth, rows in m.deal(frame):
+        for r in rows.collect():
+            f, own = r.fp % 2**64, (r.fp % 2**64) >> (64 - depth) if depth else 0
+            met.setdefault((depth, min(own, r.other % 2**64), max(own, r.other % 2**64)), []).append(f)
+    times = {}
+    for (depth, a, b), fs in met.items():
+        assert len(fs) == len(set(fs))
+        for p in links(sorted(fs)):
+            if a == b or p[0] >> (64 - depth) != p[1] >> (64 - depth):
+                times[p] = times.get(p, 0) + 1
+    assert {p for p, n in times.items() if n == 1} == want == set(times)
+
+
+def test_tries_do_the_work():
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    x = np.unique(np.array([simhash((t or "").encode()) for t in docs], np.uint64))
+    count = Counter()
+    root = trie_classes(x, [(0, len(x), 0, len(x), 0, 0)], 3, count)
+    want = links(x.tolist())
+    got = classes(x.tolist(), zip(x.tolist(), x[root].tolist(), strict=True))
+    assert got == classes(x.tolist(), want)
+    assert 12 * count["compared"] < len(x) * (len(x) - 1) / 2 and count["expanded"] > 10 * len(x) and count["pruned"] > 10 * len(x), count  # the rest is pruned
