@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pytest
 
 from neargrid.llm import chat, licenses, quality, queries
 
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 def oracle(sql, tables):
     c = duckdb.connect()
     for name, frame in tables.items():
-        c.register(name, frame.toPandas()) if not isinstance(frame, Path) else c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{frame}'")
+        c.register(name, frame.toArrow()) if not isinstance(frame, Path) else c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{frame}'")
     return sorted(c.execute(sql).fetchall(), key=str)
 
 
@@ -130,15 +131,23 @@ def test_wrapped_licenses(spark):
     assert [(r.sentences, r.licenses) for r in licenses.scan(docs).orderBy("doc_id").collect()] == [tuple(c[1:]) for c in cases]
 
 
-def test_chat(spark):
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_chat(spark, monkeypatch, limit):
+    monkeypatch.setattr(chat, "BROADCAST_ROWS", limit)
     rnd = random.Random(2)
     base = [[("user", rnd.choice("ab")), ("assistant", rnd.choice("cd")), ("user", rnd.choice("ef")), ("assistant", "g")][: rnd.randrange(1, 5)] for _ in range(40)]
     rows = [(i * 7 % 101, k, *x) for i, c in enumerate(base) for k, x in enumerate(c)]
     rows += [(500, None, None, None), (500, 1, "user", None), (501, 3, "b", "x"), (501, 3, "a", "y"), (None, 0, "user", "n"), (0, 0, *base[0][0])]
-    turns = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, i string")
+    rows += [(None, 4, "user", "n"), (None, 0, *base[3][0]), (None, None, None, "only"), (None, 1, None, "only")]  # of no conversation: one of its own each
+    rows += [(600, k, "user", f"turn {k}") for k in range(-3, 2500)] + [(601, k, "user", f"turn {k}") for k in range(-3, 2000)] + [(602, -3, "user", "turn -3"), (602, 5000, "a", "z" * 100_000)]
+    turns = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, i string").repartition(5)
     got = sorted(map(tuple, chat.maximal_conversations(turns).collect()), key=str)
     assert got == oracle(chat.ORACLE, {"conversations": turns})
+    assert [r[1:4] for r in got if r[0] is None] == [(1, 2, 0), (1, 2, 0)] and sorted(r[3] for r in got if r[0] == 600) == [0, 1, 2] and not any(r[0] == 601 for r in got)
     assert chat.maximal_conversations(turns.limit(0)).collect() == []
+
+
+def test_chat_table(spark):
     real = oracle(chat.ORACLE, {"conversations": Path(SF, "conversations.parquet")})
     assert sorted(map(tuple, queries.op9_chat(spark, SF).collect()), key=str) == real
 

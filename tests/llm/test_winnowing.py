@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 from neargrid.llm import queries, winnowing
 from pyspark.sql import functions as F
 
@@ -30,6 +31,13 @@ def brute(docs, bench):
     return sorted(out, key=str)
 
 
+def oracle(frames):
+    c = duckdb.connect()
+    for name, frame in frames.items():
+        c.register(name, frame.toArrow())
+    return c.execute(winnowing.ORACLE).fetchall()
+
+
 def run(spark, docs, bench, monkeypatch):
     frames = {"documents": spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, n int, key string"), "benchmark": spark.createDataFrame([(*b, 3) for b in bench], "item_id long, text string, f int")}
     monkeypatch.setattr(queries, "read_table", lambda s, d, n: frames[n])
@@ -51,11 +59,23 @@ def test_against_brute_force(spark, monkeypatch):
     clean = winnowing.decontaminate(frames["documents"], frames["benchmark"])
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r[0]) for r in got if not r[5])
     assert clean.columns == ["doc_id", "text", "n", "key"]
+    assert sorted(oracle(frames), key=str) == got
     monkeypatch.setattr(winnowing, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(winnowing, "CHUNK", 1)
     assert run(spark, docs, bench, monkeypatch)[0] == got
 
 
+def test_long_texts_and_a_hot_item(spark, monkeypatch):
+    long = " ".join(str(i * i) for i in range(60_000))
+    bench = [(1, " ".join(long.split()[40_000:40_030])), (2, "the")]
+    docs = [(i, f"the {i} the") for i in range(40)] + [(100, long), (101, long[:1000])]
+    got, _ = run(spark, docs, bench, monkeypatch)
+    assert {r[0]: r[1:4] for r in got} == {i: (3, 2, 1) for i in range(40)} | {100: (60_000, 30, 1), 101: (len(long[:1000].split()), 0, 0)}
+    monkeypatch.setattr(winnowing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(winnowing, "FILTER_LONGS", 1)
+    assert run(spark, docs, bench, monkeypatch)[0] == got
+
+
 def test_empty_tables(spark, monkeypatch):
     assert run(spark, [], [(1, "a b")], monkeypatch)[0] == []
     assert [r[1:4] for r in run(spark, [(1, "a b")], [], monkeypatch)[0]] == [(2, 0, 0)]
