@@ -76,4 +76,4 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_winnowing": op10_winnowing,
 }
-ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.oracle(), "op9_chat": chat.ORACLE, "op10_winnowing": winnowing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_pq": vectors.ORACLE, "op8_licenses": licenses.oracle(), "op9_chat": chat.ORACLE, "op10_winnowing": winnowing.ORACLE}
