@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neargrid.sources.schemas import DIMS, VECTOR
@@ -64,6 +64,14 @@ def minutes_since(now_s: Column, then_s: Column) -> Column:
     return F.greatest(F.floor((now_s - then_s) / 60), F.lit(0)).cast("double")
 
 
+def history(events: DataFrame, by: str, seconds: str, id_: str) -> DataFrame:
+    """events with minutes_since_last (whole minutes since the one before of the same `by`; -1: none) and tx_count_24h (those of the last 24 hours, itself included)."""
+    w = Window.partitionBy(by)
+    before = F.lag(seconds).over(w.orderBy(seconds, id_))
+    minutes = F.when(before.isNull(), -1).otherwise(F.greatest(F.floor((F.col(seconds) - before) / 60), F.lit(0)))
+    return events.select("*", minutes.cast("bigint").alias("minutes_since_last"), F.count(F.lit(1)).over(w.orderBy(seconds).rangeBetween(-86400, 0)).alias("tx_count_24h"))
+
+
 def vectorised(requests: DataFrame, *keep: str) -> DataFrame:
     """Flat requests -> `keep`, v0..v13: one projection of built-in expressions."""
     c = F.col

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from neargrid.sources.shared import materialise
 LEAF = 64
 #: Levels with so many nodes or fewer are ranked by a global sort: their nodes are too large for a window each.
 LARGE_NODES = 1024
+#: Rows of a node that one task splits down to its leaves.
+SUBTREE = 1 << 16
 
 
 def widest(prefix_lo: str = "min", prefix_hi: str = "max") -> Column:
@@ -30,7 +36,7 @@ def split(rows: DataFrame, nodes: DataFrame, leaf: int = LEAF) -> DataFrame:
     joined = joined.withColumn("value", value)
     if nodes.count() <= LARGE_NODES:
         before = plan.select("node", F.coalesce(F.sum("n").over(Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        ranked = positions(joined, ["node", "value", "ref_id"], "at").join(F.broadcast(before), "node").withColumn("rn", F.col("at") - F.col("before")).drop("at", "before")
+        ranked = positions(joined, ["node", "value", "ref_id"], "at")[0].join(F.broadcast(before), "node").withColumn("rn", F.col("at") - F.col("before")).drop("at", "before")
     else:
         ranked = joined.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("value", "ref_id")) - 1)
     left = F.col("rn") < F.floor(F.col("n") / 2)
@@ -38,25 +44,50 @@ def split(rows: DataFrame, nodes: DataFrame, leaf: int = LEAF) -> DataFrame:
     return ranked.withColumn("node", child).drop("n", "dim", "value", "rn")
 
 
+def leaf_nodes(node: int, vectors: np.ndarray, ref_id: np.ndarray, leaf: int) -> np.ndarray:
+    """The leaf of each row below `node`, by the splits of `split` taken one after the other."""
+    out = np.empty(len(ref_id), np.int64)
+    order = np.argsort(ref_id, kind="stable")
+    stack = [(node, order)]  # rows of a node, by ref_id
+    rank = np.empty(len(ref_id), np.int64)
+    rank[order] = np.arange(len(order))
+    while stack:
+        at, rows = stack.pop()
+        if len(rows) <= leaf:
+            out[rows] = at
+            continue
+        part = vectors[rows]
+        dim = int((part.max(axis=0).astype(np.int32) - part.min(axis=0)).argmax())
+        by = rows[np.argsort(part[:, dim], kind="stable")]
+        for child, half in ((2 * at + 1, by[: len(by) // 2]), (2 * at + 2, by[len(by) // 2 :])):
+            stack.append((child, half[np.argsort(rank[half])]))
+    return out
+
+
 def build(refs: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """refs (ref_id, v0..v13, label) -> rows with `node`, and the leaves' boxes (node, n, min*, max*).
 
-    One level is one aggregation and one sort; finished nodes are left aside.
+    Nodes of over SUBTREE rows are split level by level, one aggregation and one sort for all nodes of a level; all
+    that is below a smaller node is split in one task, so a table of SUBTREE rows takes one pass.
     """
     rows = materialise(refs.select("ref_id", *VECTOR, "label").withColumn("node", F.lit(0).cast("bigint")))
     done: list[DataFrame] = []
     while True:
         nodes = materialise(boxes(rows, F.col("node"), VECTOR, VECTOR))
-        small = nodes.where(F.col("n") <= leaf).select("node")
+        small = nodes.where(F.col("n") <= max(leaf, SUBTREE)).select("node")
         done.append(rows.join(small, "node", "left_semi"))
-        big = nodes.where(F.col("n") > leaf)
+        big = nodes.where(F.col("n") > max(leaf, SUBTREE))
         if big.isEmpty():
             break
         rows = materialise(split(rows, big, leaf))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    out = materialise(out)
+
+    def finish(key: tuple, table: pa.Table) -> pa.Table:
+        vectors = np.stack([table.column(v).to_numpy() for v in VECTOR], axis=1)
+        found = leaf_nodes(key[0].as_py(), vectors, table.column("ref_id").to_numpy(), leaf)
+        return table.set_column(table.schema.get_field_index("node"), "node", pa.array(found))
+
+    out = reduce(DataFrame.unionByName, done)
+    out = materialise(out.groupBy("node").applyInArrow(finish, out.schema))
     return out, materialise(boxes(out, F.col("node"), VECTOR, VECTOR))
 
 

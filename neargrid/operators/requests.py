@@ -10,6 +10,7 @@ from neargrid.sources.schemas import REQUEST
 
 MAX_BODY = 2048
 MAX_HEADER = 1024
+LENGTH = "\r\nContent-Length:"
 
 
 def timestamp(text: Column) -> Column:
@@ -72,24 +73,50 @@ def request_json(flat: DataFrame, *keep: str) -> DataFrame:
     return flat.select(*keep, body.alias("body"))
 
 
-def parse_http(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Raw HTTP/1.1 requests -> route (ready, score, unknown, bad), content_length, body; other columns stay."""
-    r = F.col(raw)
-    end = F.instr(r, "\r\n\r\n")
-    header = F.substring(r, F.lit(1), F.when(end > 0, end - 1).otherwise(F.length(r)))
-    length_text = F.regexp_extract(F.concat(header, F.lit("\r\n")), r"\r\nContent-Length:[ \t]*([^\r]*?)[ \t]*\r\n", 1)
-    length = F.when(length_text == "", F.lit(0)).otherwise(length_text.try_cast("bigint")).cast("bigint")
-    rest = F.substring(r, (end + 4).cast("int"), F.length(r))
-    d = df.withColumn("_end", end).withColumn("content_length", F.when(end > 0, length)).withColumn("_rest", rest).withColumn("_digits", length_text.rlike("^[0-9]*$"))
+def _first_request(rest: Column) -> Column:
+    """The first request of a buffer of bytes (a string of one character each): struct (route, content_length, body, used)."""
+    end = F.instr(rest, "\r\n\r\n")
+    header = F.substring(rest, F.lit(1), end - 1)
+    ready, score = header.startswith("GET /ready "), header.startswith("POST /fraud-score ")
+    named = F.instr(header, LENGTH)
+    line = F.substring_index(F.substring(header, named + len(LENGTH), F.length(header)), "\r\n", 1)
+    digits = F.regexp_replace(line, "^[ \t]+", "")
+    length = F.when(digits.rlike("^[0-9]*$"), F.coalesce(F.concat(F.lit("0"), digits).try_cast("bigint"), F.lit(-1).cast("bigint")))
+    valid = (named > 0) & F.coalesce(length.between(0, MAX_BODY), F.lit(False))
+    whole = F.length(rest) >= end + 3 + length
     route = (
-        F.when((F.col("_end") == 0) | (F.col("_end") > MAX_HEADER), "bad")
-        .when(r.startswith("GET /ready "), "ready")
-        .when(~r.startswith("POST /fraud-score "), "unknown")
-        .when(F.col("content_length").isNull() | ~F.col("_digits") | (F.col("content_length") > MAX_BODY) | (F.octet_length("_rest") < F.col("content_length")), "bad")
-        .otherwise("score")
-    )
-    d = d.withColumn("route", route)
-    return d.withColumn("body", F.when(F.col("route") == "score", F.substring(F.col("_rest"), F.lit(1), F.col("content_length").cast("int")))).drop(raw, "_end", "_rest", "_digits")
+        F.when(end == 0, F.when(F.length(rest) >= MAX_HEADER, "bad").otherwise("incomplete"))
+        .when(ready, "ready").when(~score, "unknown").when(~valid, "bad").when(~whole, "incomplete").otherwise("score")
+    )
+    given = F.when((end > 0) & score & (named > 0) & (length >= 0), length)
+    body = F.when(route == "score", F.encode(F.substring(rest, (end + 4).cast("int"), length.cast("int")), "ISO-8859-1").cast("string"))
+    used = end + 3 + F.when(route == "score", length).otherwise(F.lit(0).cast("bigint"))
+    return F.struct(route.alias("route"), given.alias("content_length"), body.alias("body"), used.cast("int").alias("used"))
+
+
+def parse_http(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Buffers of HTTP/1.1 requests (text or bytes) -> a row a request: seq, route, content_length, body; other columns stay.
+
+    A buffer's requests follow each other; ready and score go on with the next one, unknown and bad end the connection.
+    A header is unfinished until an empty line: `incomplete`, or `bad` from MAX_HEADER bytes on; a finished one may be
+    longer. A scoring request needs Content-Length, so spelt: blanks before the digits are skipped, no others, and no
+    digits are 0. None, another value or one over MAX_BODY is `bad`; a body that has not all come is `incomplete`.
+    Lengths count bytes. What is left after the last whole request is a row; an empty buffer is `incomplete`.
+    """
+    none = F.array().cast("array<struct<route:string,content_length:bigint,body:string,used:int>>")
+    text = F.decode(F.col(raw).cast("binary"), "ISO-8859-1")
+    state = F.struct(text.alias("rest"), none.alias("found"))
+    turns = F.sequence(F.lit(0), F.size(F.split(text, "\r\n\r\n")) - 1)  # each request but the last has an end of its own
+
+    def step(a: Column, _: Column) -> Column:
+        last = F.try_element_at(a["found"], F.lit(-1))
+        on = F.coalesce(last["route"].isin("ready", "score"), F.lit(True)) & ((F.length(a["rest"]) > 0) | (F.size(a["found"]) == 0))
+        more = F.transform(F.array(_first_request(a["rest"])), lambda p: F.struct(F.substring(a["rest"], p["used"] + 1, F.length(a["rest"])).alias("rest"), F.concat(a["found"], F.array(p)).alias("found")))
+        return F.when(on, F.get(more, 0)).otherwise(a)
+
+    d = df.withColumn("_found", F.aggregate(turns, state, step)["found"])
+    kept = [c for c in df.columns if c != raw]
+    return d.select(*kept, F.posexplode("_found").alias("seq", "_p")).select(*kept, "seq", "_p.route", "_p.content_length", "_p.body")
 
 
 def response_json(decisions: DataFrame, *keep: str) -> DataFrame:

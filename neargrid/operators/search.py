@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import os
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neargrid.functions import morton
-from neargrid.operators.ranks import lower_bounds, positions
+from neargrid.operators.ranks import key_tree, lower_bounds, positions
 from neargrid.sources.schemas import QUERY, VECTOR
 from neargrid.sources.shared import materialise
 
-WINDOW = 512
+#: Half-width of the Morton window, unless the environment says otherwise.
+WINDOW = int(os.environ["MORTON_WINDOW"]) if os.environ.get("MORTON_WINDOW", "").isdigit() else 512
 FAST_K = 11
 FAST_LIMIT = 5000
 EXACT_K = 5
+#: Index rows in a run, by which band joins meet.
+RUN = 512
 #: Index rows in a block, and blocks or boxes in the box above.
 FAN = 64
 #: Half-width of the window that gives exact search its first bound.
 BOUND_WINDOW = 16
+#: Dimensions whose partial distance is looked at first.
+EARLY = 8
+
+
+@dataclass
+class Index:
+    """rows (ref_id, v0..v13, label, key, pos) in key order, n of them; the tree of keys; the levels of boxes."""
+
+    rows: DataFrame
+    n: int
+    keys: list[DataFrame]
+    boxes: list[DataFrame]
 
 
-def build_index(refs: DataFrame) -> DataFrame:
-    """refs (ref_id, v0..v13, label) -> with key and pos, by key and ref_id."""
+def build_index(refs: DataFrame) -> Index:
+    """refs (ref_id, v0..v13, label) -> the index, by key and ref_id. All of it is written, so each search only reads."""
     refs = materialise(refs.select("ref_id", *VECTOR, "label"))  # a range partitioning reads its input twice
-    return positions(morton.with_key(refs, VECTOR), ["key", "ref_id"])
+    rows, n = positions(morton.with_key(refs, VECTOR), ["key", "ref_id"])
+    return Index(rows, n, key_tree(rows, n), box_levels(rows, n))
 
 
 def as_queries(vectors: DataFrame, id_: str) -> DataFrame:
@@ -31,9 +50,9 @@ def as_queries(vectors: DataFrame, id_: str) -> DataFrame:
     return morton.with_key(vectors.select(F.col(id_).alias("id"), *(F.col(v).alias(q) for v, q in zip(VECTOR, QUERY, strict=True))), QUERY)
 
 
-def with_bounds(queries: DataFrame, index: DataFrame) -> DataFrame:
+def with_bounds(queries: DataFrame, index: Index) -> DataFrame:
     """queries with lb, unless they have it."""
-    return queries if "lb" in queries.columns else queries.join(lower_bounds(queries.select("id", "key"), index).select("id", "lb"), "id")
+    return queries if "lb" in queries.columns else lower_bounds(queries, index.keys)
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
@@ -41,15 +60,16 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def band(queries: DataFrame, index: DataFrame, width: int = WINDOW) -> DataFrame:
+def band(queries: DataFrame, index: Index, width: int = WINDOW) -> DataFrame:
     """queries (id, q0..q13, key) with every index row at positions lb - width .. lb + width, lb the key's lower bound.
 
-    Positions are cut into runs of `width`; a query meets its three runs at most in an equi-join.
+    Positions are cut into runs; a query meets the few runs of its window in an equi-join.
     """
     probed = with_bounds(queries, index)
-    first, last = F.floor(F.greatest(F.col("lb") - width, F.lit(0)) / width), F.floor((F.col("lb") + width) / width)
-    probed = spread(probed.drop("key").withColumn("run", F.explode(F.sequence(first, last))), "run")
-    rows = index.select("ref_id", *VECTOR, "label", "pos").withColumn("run", F.floor(F.col("pos") / width))
+    low, high = F.greatest(F.col("lb") - width, F.lit(0).cast("bigint")), F.least(F.col("lb") + width, F.lit(max(index.n - 1, 0)).cast("bigint"))
+    step = min(RUN, max(1, 2 * width))
+    probed = spread(probed.drop("key").withColumn("run", F.explode(F.sequence(F.floor(low / step), F.floor(F.greatest(high, low) / step)))), "run")
+    rows = index.rows.select("ref_id", *VECTOR, "label", "pos").withColumn("run", F.floor(F.col("pos") / step))
     return probed.join(rows, "run").where(F.col("pos").between(F.col("lb") - width, F.col("lb") + width))
 
 
@@ -58,7 +78,7 @@ def _top(pairs: DataFrame, k: int, *order: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def window_top(queries: DataFrame, index: DataFrame, k: int = FAST_K, width: int = WINDOW) -> DataFrame:
+def window_top(queries: DataFrame, index: Index, k: int = FAST_K, width: int = WINDOW) -> DataFrame:
     """id, rank, ref_id, pos, d, label: the k nearest by L1 in the window; ties go to the earlier position."""
     pairs = band(queries, index, width).select("id", "ref_id", "pos", morton.l1(VECTOR, QUERY).alias("d"), "label")
     return _top(pairs, k, "d", "pos")
@@ -76,11 +96,11 @@ def boxes(rows: DataFrame, group: Column, lo: list[str], hi: list[str]) -> DataF
     return rows.groupBy(group.alias("node")).agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(f"min{i}") for i, c in enumerate(lo)), *(F.max(c).alias(f"max{i}") for i, c in enumerate(hi)))
 
 
-def box_levels(index: DataFrame, fan: int = FAN) -> list[DataFrame]:
-    """Boxes of runs of `fan` index rows, boxes of runs of `fan` boxes, and so on to one level of `fan` at most."""
+def box_levels(rows: DataFrame, n: int, fan: int = FAN) -> list[DataFrame]:
+    """Boxes of runs of `fan` of the n index rows, boxes of runs of `fan` boxes, and so on to one level of `fan` at most."""
     low, high = ([f"{m}{i}" for i in range(len(VECTOR))] for m in ("min", "max"))
-    levels = [materialise(boxes(index, F.floor(F.col("pos") / fan), VECTOR, VECTOR))]
-    while levels[-1].count() > fan:
+    levels = [materialise(boxes(rows, F.floor(F.col("pos") / fan), VECTOR, VECTOR))]
+    while (n := -(-n // fan)) > fan:
         levels.append(materialise(boxes(levels[-1], F.floor(F.col("node") / fan), low, high)))
     return levels
 
@@ -91,24 +111,24 @@ def box_distance(q: list[str], least: bool = True) -> Column:
     return F.expr(" + ".join(f"power({part.format(i=i, c=c)}, 2)" for i, c in enumerate(q)))
 
 
-def knn_exact(queries: DataFrame, index: DataFrame, k: int = EXACT_K, levels: list[DataFrame] | None = None) -> DataFrame:
+def knn_exact(queries: DataFrame, index: Index, k: int = EXACT_K, fan: int = FAN) -> DataFrame:
     """id, rank, ref_id, d, label: the k least (squared L2, ref_id) over the whole index.
 
     The k-th distance in a narrow Morton window bounds the answer. From the top level down a query keeps the boxes
     that come as near as that, and meets their children in an equi-join; only the rows of kept blocks are measured.
     Nothing that could be among the k is left out, and a box at the very bound is kept for its ties.
     """
-    levels = box_levels(index) if levels is None else levels
     near = _top(band(queries, index, BOUND_WINDOW).select("id", "ref_id", morton.l2(VECTOR, QUERY).alias("d")), k, "d", "ref_id")
     bound = near.groupBy("id").agg(F.when(F.count(F.lit(1)) == k, F.max("d")).alias("bound"))
     live = materialise(queries.join(bound, "id", "left").select("id", *QUERY, "bound"))
     within = F.col("bound").isNull() | (box_distance(QUERY) <= F.col("bound"))
     live = live.withColumn("up", F.lit(0).cast("bigint"))
-    for depth, level in enumerate(reversed(levels)):
-        child = level.withColumn("up", F.lit(0).cast("bigint") if not depth else F.floor(F.col("node") / FAN))
+    for depth, level in enumerate(reversed(index.boxes)):
+        child = level.withColumn("up", F.lit(0).cast("bigint") if not depth else F.floor(F.col("node") / fan))
         live = live.join(child, "up").where(within).select("id", *QUERY, "bound", F.col("node").alias("up"))
-    rows = index.select("ref_id", *VECTOR, "label", F.floor(F.col("pos") / FAN).alias("up"))
-    pairs = spread(live, "up").join(rows, "up").select("id", "ref_id", morton.l2(VECTOR, QUERY).alias("d"), "label", "bound").where("bound IS NULL OR d <= bound")
+    rows = index.rows.select("ref_id", *VECTOR, "label", F.floor(F.col("pos") / fan).alias("up"))
+    pairs = spread(live, "up").join(rows, "up").where(F.col("bound").isNull() | (morton.l2(VECTOR[:EARLY], QUERY[:EARLY]) <= F.col("bound")))
+    pairs = pairs.select("id", "ref_id", morton.l2(VECTOR, QUERY).alias("d"), "label", "bound").where("bound IS NULL OR d <= bound")
     return _top(pairs.drop("bound"), k, "d", "ref_id")
 
 

@@ -10,7 +10,7 @@ from neargrid.sources.schemas import VECTOR
 from neargrid.sources.shared import materialise
 
 
-def decide(vectors: DataFrame, index: DataFrame, levels: list[DataFrame] | None = None) -> DataFrame:
+def decide(vectors: DataFrame, index: search.Index) -> DataFrame:
     """(request_id, v0..v13) -> request_id, frauds (of 5; null on the fast path), fraud_score, approved, source.
 
     Equal vectors are searched once, which also keeps a vector that very many requests share from being a hot key.
@@ -20,15 +20,9 @@ def decide(vectors: DataFrame, index: DataFrame, levels: list[DataFrame] | None
     distinct = materialise(search.with_bounds(search.as_queries(vectors.groupBy(*VECTOR).agg(F.min("request_id").alias("id")), "id"), index))
     voted = materialise(distinct.select("id").join(search.window_vote(search.window_top(distinct, index)), "id", "left").select("id", "fast_score"))
     residue = distinct.join(voted.where("fast_score IS NULL").select("id"), "id", "left_semi")
-    exact = search.exact_votes(residue, search.knn_exact(residue, index, levels=levels))
+    exact = search.exact_votes(residue, search.knn_exact(residue, index))
     fast = voted.where("fast_score IS NOT NULL").select("id", F.lit(None).cast("int").alias("frauds"), F.col("fast_score").alias("fraud_score"), F.lit("Morton").alias("source"))
     scored = fast.unionByName(exact.withColumn("source", F.lit("KdTree")))
     approved = F.when(F.col("source") == "Morton", F.col("fraud_score") == 0).otherwise(F.col("frauds") < 3)
     scored = scored.withColumn("approved", approved).join(distinct.select("id", *(F.col(q).alias(v) for q, v in zip(search.QUERY, VECTOR, strict=True))), "id").drop("id")
     return vectors.join(scored, VECTOR).select("request_id", "frauds", "fraud_score", "approved", "source")
-
-
-def build(refs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The index and its box levels."""
-    index = search.build_index(refs)
-    return index, search.box_levels(index)

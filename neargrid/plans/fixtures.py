@@ -35,6 +35,35 @@ FROM e
 """
 
 
+#: Buffers of HTTP requests, whole and broken.
+HTTP_BUFFERS = """
+WITH e AS (SELECT event_id AS request_id, event_id % 20 AS c, concat('m-', CAST(event_id AS STRING)) AS m, concat('POST /fraud-score HTTP/1.1', chr(13), chr(10), 'Host: x', chr(13), chr(10), 'Content-Length:') AS post,
+  concat(chr(13), chr(10)) AS nl, concat(chr(13), chr(10), chr(13), chr(10)) AS hend FROM {events})
+SELECT request_id, CASE c
+  WHEN 0 THEN concat('GET /ready HTTP/1.1', nl, 'Host: x', hend)
+  WHEN 1 THEN concat(post, ' ', CAST(length(m) AS STRING), hend, m, 'GET /ready HTTP/1.1', hend)
+  WHEN 2 THEN concat('GET /other HTTP/1.1', hend, 'GET /ready HTTP/1.1', hend)
+  WHEN 3 THEN concat(post, ' 5000', hend, 'x')
+  WHEN 4 THEN concat(post, ' 5')
+  WHEN 5 THEN concat(post, ' 5x', hend, 'abcde')
+  WHEN 6 THEN concat(replace(post, 'Content-L', 'content-l'), ' 4', hend, 'abcd')
+  WHEN 7 THEN concat(post, ' 99', hend, 'short')
+  WHEN 8 THEN concat(post, ' 4 ', hend, 'abcd')
+  WHEN 9 THEN concat(post, ' 2', hend, 'é', post, ' 5', hend, 'été')
+  WHEN 10 THEN concat('GET /ready HTTP/1.1', nl, 'X: ', repeat('y', 1500), hend)
+  WHEN 11 THEN concat(post, repeat('0', 1100))
+  WHEN 12 THEN concat(post, hend, 'GET /ready HTTP/1.1', hend)
+  WHEN 13 THEN concat(post, ' 1', hend, 'a', post, ' 2', hend, 'bc', 'GET /ready HTTP/1.1', hend, post, ' 9', hend, 'tail')
+  WHEN 14 THEN concat(post, ' 0002048', hend, repeat('z', 2048))
+  WHEN 15 THEN concat(post, ' 99999999999999999999999', hend, 'x')
+  WHEN 16 THEN concat(post, ' -1', hend, 'x')
+  WHEN 17 THEN concat('POST /fraud-score', hend, 'x')
+  WHEN 18 THEN concat('POST /fraud-score HTTP/1.1', hend, 'abcd')
+  ELSE '' END AS raw
+FROM e
+"""
+
+
 def fraud_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FRAUD_REQUESTS, events=read_table(spark, sf_dir, "events"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from neargrid.functions.features import DEFAULT_RISK, MCC_RISK
-from neargrid.plans.fixtures import FRAUD_REQUESTS
+from neargrid.plans.fixtures import FRAUD_REQUESTS, HTTP_BUFFERS
 
 D = range(14)
 V = ", ".join(f"v{i}" for i in D)
@@ -60,13 +60,32 @@ SCORES = """, m AS (SELECT count(*) FILTER (http_ok AND approved AND expected_ap
   l AS (SELECT *, CASE WHEN p99 <= 0 THEN 0.0 WHEN p99 > 2000 THEN -3000.0 ELSE 1000 * log10(1000 / greatest(p99, 1.0)) END AS a,
         CASE WHEN failure_rate > 0.15 THEN -3000.0 ELSE 1000 * log10(1 / greatest(epsilon, 0.001)) - 300 * log10(1.0 + weighted) END AS b FROM h)"""
 _BROKEN = "request_id % 50 IN (7, 13, 21, 33, 45)"
+_REASON = "CASE request_id % 50 WHEN 7 THEN 'json' WHEN 13 THEN 'json' WHEN 21 THEN 'fields' WHEN 33 THEN 'json' ELSE 'date' END"
+_SIZES = f"{KEYED}, sizes AS (WITH RECURSIVE z(n) AS (SELECT count(*) FROM r UNION ALL SELECT unnest([n // 2, n - n // 2]) FROM z WHERE n > 64) SELECT n FROM z WHERE n <= 64)"
+#: One request after the other is taken off the hexadecimal digits of a buffer's bytes. The answers come from the bytes alone.
+HTTP = f"""
+    WITH RECURSIVE b AS ({HTTP_BUFFERS.format(events='events')}
+    ), s(request_id, seq, rest, route, content_length, body) AS (
+      SELECT request_id, -1, hex(raw), 'score', NULL::BIGINT, NULL::VARCHAR FROM b
+      UNION ALL
+      SELECT request_id, seq + 1, CASE route WHEN 'score' THEN substr(after, CAST(2 * n + 1 AS BIGINT)) ELSE after END, route, CASE WHEN post AND n IS NOT NULL AND n < 9223372036854775807 THEN CAST(n AS BIGINT) END,
+        CASE route WHEN 'score' THEN decode(unhex(substr(after, 1, CAST(2 * n AS BIGINT)))) END
+      FROM (SELECT *, CASE WHEN NOT ended THEN CASE WHEN length(rest) >= 2048 THEN 'bad' ELSE 'incomplete' END WHEN starts_with(header, 'GET /ready ') THEN 'ready' WHEN NOT post THEN 'unknown'
+          WHEN n IS NULL OR n > 2048 THEN 'bad' WHEN length(after) < 2 * n THEN 'incomplete' ELSE 'score' END AS route
+        FROM (SELECT *, ended AND starts_with(header, 'POST /fraud-score ') AS post,
+            CASE WHEN ended AND contains(header, chr(13) || chr(10) || 'Content-Length:') AND regexp_full_match(line, '[0-9]*') THEN CAST('0' || line AS HUGEINT) END AS n
+          FROM (SELECT *, regexp_replace(split_part(split_part(header || chr(13) || chr(10), chr(13) || chr(10) || 'Content-Length:', 2), chr(13) || chr(10), 1), '^[ \\t]+', '') AS line
+            FROM (SELECT request_id, seq, rest, ended, substr(rest, length(head) + 9) AS after, decode(unhex(head)) AS header
+              FROM (SELECT *, regexp_matches(rest, '^(?:..)*?0D0A0D0A') AS ended, regexp_extract(rest, '^((?:..)*?)0D0A0D0A', 1) AS head FROM s WHERE route IN ('ready', 'score') AND (rest <> '' OR seq = -1))))))
+    )
+    SELECT request_id, CAST(seq AS INTEGER) AS seq, route, content_length, body FROM s WHERE seq >= 0"""
 
 ORACLE_SQL = {
     "q_fraud_score": f"{CASCADE} SELECT * FROM c",
     "q_vectorize": f"{VECTORS} SELECT request_id, {V}, 0::SMALLINT AS v14, 0::SMALLINT AS v15 FROM x",
     "q_parse_requests": f"""WITH {FIXTURE} SELECT request_id, 'tx-' || request_id AS id, amount, installments, requested_at_s, customer_avg_amount, tx_count_24h, merchant_id, known_merchants_raw, mcc, merchant_avg_amount,
       is_online, card_present, km_from_home, last_at_s, km_from_current FROM f WHERE NOT {_BROKEN}""",
-    "q_rejects": f"WITH {FIXTURE} SELECT request_id, CASE request_id % 50 WHEN 7 THEN 'json' WHEN 13 THEN 'json' WHEN 21 THEN 'fields' WHEN 33 THEN 'json' ELSE 'date' END AS reason FROM f WHERE {_BROKEN}",
+    "q_rejects": f"WITH {FIXTURE} SELECT request_id, {_REASON} AS reason FROM f WHERE {_BROKEN}",
     "q_last_tx_features": """WITH w AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS p,
       count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS tx_count_24h FROM events)
       SELECT event_id, CASE WHEN p IS NULL THEN -1 ELSE greatest((s - p) // 60, 0) END::BIGINT AS minutes_since_last, tx_count_24h FROM w""",
@@ -86,8 +105,7 @@ ORACLE_SQL = {
     "q_kd_bounds": f"{ROOT} SELECT n, {', '.join(f'min{i}, max{i}' for i in D)} FROM b",
     "q_kd_widest": f"{ROOT} SELECT CAST(dim AS INTEGER) AS dim FROM b",
     "q_kd_split": f"{ROOT} SELECT ref_id, CASE WHEN row_number() OVER (ORDER BY [{V}][dim + 1], ref_id) <= n // 2 THEN 1 ELSE 2 END::BIGINT AS node FROM r, b",
-    "q_kd_leaf_sizes": f"""{KEYED}, sizes AS (WITH RECURSIVE z(n) AS (SELECT count(*) FROM r UNION ALL SELECT unnest([n // 2, n - n // 2]) FROM z WHERE n > 64) SELECT n FROM z WHERE n <= 64)
-      SELECT n, count(*) AS leaves FROM sizes GROUP BY n""",
+    "q_kd_leaf_sizes": f"{_SIZES} SELECT n, count(*) AS leaves FROM sizes GROUP BY n",
     "q_residual_queries": f"{VOTE} SELECT request_id FROM w WHERE fast IS NULL",
     "q_response_json": f"{CASCADE} SELECT request_id, '{{\"approved\":' || approved || ',\"fraud_score\":' || printf('%.1f', fraud_score) || '}}' AS body FROM c",
     "q_diagnose": f"{RESULTS} SELECT source, count(*) AS cases, CAST(sum(CAST(approved <> expected_approved AS INTEGER)) AS BIGINT) AS mismatches FROM o GROUP BY source",
@@ -96,9 +114,12 @@ ORACLE_SQL = {
     "q_class_balance": f"""WITH {FIXTURE} SELECT count(*) AS total, CAST(sum(label) AS BIGINT) AS fraud_count, CAST(count(*) - sum(label) AS BIGINT) AS legit_count, round(sum(label) / count(*)::DOUBLE, 6) AS fraud_rate,
       round((count(*) - sum(label)) / count(*)::DOUBLE, 6) AS legit_rate FROM f WHERE NOT is_query""",
     "q_index_counts": f"{KEYED} SELECT count(*) AS records, CAST((count(*) + 63) // 64 AS BIGINT) AS blocks, CAST(sum(label) AS BIGINT) AS frauds FROM r",
-    "q_http_parse": f"""WITH {FIXTURE} SELECT request_id,
-      CASE request_id % 8 WHEN 0 THEN 'ready' WHEN 1 THEN 'score' WHEN 2 THEN 'unknown' WHEN 3 THEN 'bad' WHEN 4 THEN 'bad' WHEN 5 THEN 'bad' WHEN 6 THEN 'score' ELSE 'bad' END AS route,
-      CASE request_id % 8 WHEN 0 THEN 0 WHEN 1 THEN length(merchant_id) WHEN 2 THEN 0 WHEN 3 THEN 5000 WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN 0 ELSE 99 END::BIGINT AS content_length,
-      CASE request_id % 8 WHEN 1 THEN merchant_id WHEN 6 THEN '' END AS body FROM f""",
-    "q_stream_score": f"{CASCADE} SELECT * FROM c",
+    "q_http_parse": HTTP,
+    "q_stream_score": f"""{CASCADE} SELECT 'tx-' || request_id AS id, frauds, fraud_score, approved, source, NULL::VARCHAR AS reason FROM c
+      UNION ALL SELECT 'tx-' || request_id, NULL, NULL, NULL, NULL, {_REASON} FROM f WHERE {_BROKEN}""",
+    "q_diagnose_report": f"""{RESULTS} SELECT count(*) AS entries, count(*) FILTER (source = 'Morton') AS morton_cases, count(*) FILTER (source = 'KdTree') AS kdtree_cases,
+      count(*) FILTER (source = 'Morton' AND approved <> expected_approved) AS morton_mismatches, count(*) FILTER (source = 'KdTree' AND approved <> expected_approved) AS kdtree_mismatches FROM o""",
+    "q_index_checksum": f"{KEYED} SELECT count(*) AS records, {', '.join(f'CAST(bit_xor(v{i}) AS INTEGER) AS v{i}' for i in D)} FROM r",
+    "q_index_job": f"""{_SIZES} SELECT (SELECT count(*) FROM r) AS entries, (SELECT CAST(sum(label) AS BIGINT) FROM r) AS frauds, (SELECT CAST(sum(pos * ref_id) AS BIGINT) FROM r) AS places,
+      (SELECT count(*) FROM sizes) AS leaves, (SELECT count(*) FROM r) AS kd_records, (SELECT CAST(sum(ref_id) AS BIGINT) FROM r) AS kd_refs""",
 }

@@ -9,14 +9,16 @@ from neargrid.functions import features, morton
 from neargrid.operators import evaluate, kdtree, requests, search
 from neargrid.operators.ranks import lower_bounds
 from neargrid.plans import cascade
-from neargrid.plans.fixtures import fraud_requests, query_vectors, references
+from neargrid.plans.fixtures import HTTP_BUFFERS, fraud_requests, query_vectors, references
+from neargrid.plans.jobs import build_indexes
+from neargrid.sources.indexes import read_index, read_kd
 from neargrid.sources.schemas import VECTOR
 from neargrid.sources.shared import shared_path
 from neargrid.sources.tables import read_table, stream_requests
 from neargrid.streaming.scorer import score_stream
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, search.Index]:
     f = fraud_requests(spark, sf_dir)
     return search.as_queries(query_vectors(f), "request_id"), search.build_index(references(f))
 
@@ -27,7 +29,7 @@ def _named(df: DataFrame) -> DataFrame:
 
 def q_fraud_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fraud_requests(spark, sf_dir)
-    return cascade.decide(query_vectors(f), *cascade.build(references(f)))
+    return cascade.decide(query_vectors(f), search.build_index(references(f)))
 
 
 def q_vectorize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +57,8 @@ def q_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_last_tx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("s"))
-    w = Window.partitionBy("user_id")
-    before = F.lag("s").over(w.orderBy("s", "event_id"))
-    minutes = F.when(before.isNull(), -1).otherwise(F.greatest(F.floor((F.col("s") - before) / 60), F.lit(0)))
-    return e.select("event_id", minutes.cast("bigint").alias("minutes_since_last"), F.count(F.lit(1)).over(w.orderBy("s").rangeBetween(-86400, 0)).alias("tx_count_24h"))
+    return features.history(e, "user_id", "s", "event_id").select("event_id", "minutes_since_last", "tx_count_24h")
 
 
 def q_mcc_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +88,12 @@ def q_morton_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_morton_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir)[1].select("ref_id", "key", "pos")
+    return _index(spark, sf_dir)[1].rows.select("ref_id", "key", "pos")
 
 
 def q_morton_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, index = _index(spark, sf_dir)
-    return _named(lower_bounds(q.select("id", "key"), index).select("id", "lb"))
+    return _named(lower_bounds(q.select("id", "key"), index.keys).select("id", "lb"))
 
 
 def q_morton_window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +157,20 @@ def q_kd_leaf_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.build(references(fraud_requests(spark, sf_dir)))[1].groupBy("n").agg(F.count(F.lit(1)).alias("leaves"))
 
 
+def q_index_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job writes both indexes; what their readers give back is counted."""
+    path = shared_path(spark)
+    build_indexes(references(fraud_requests(spark, sf_dir)), path)
+    index, (rows, leaves) = read_index(spark, f"{path}/morton"), read_kd(spark, f"{path}/kd")
+    morton_ = index.rows.agg(F.count(F.lit(1)).alias("entries"), F.sum("label").alias("frauds"), F.sum(F.col("pos") * F.col("ref_id")).alias("places"))
+    kd = leaves.agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("kd_records"))
+    return morton_.crossJoin(kd).crossJoin(rows.agg(F.sum("ref_id").alias("kd_refs")))  # one row each
+
+
+def q_index_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.checksum(_index(spark, sf_dir)[1].rows, VECTOR)
+
+
 def q_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.response_json(q_fraud_score(spark, sf_dir), "request_id")
 
@@ -174,6 +185,11 @@ def q_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.diagnose(_results(spark, sf_dir))
 
 
+def q_diagnose_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's row, but for the time it took, which no other run gives again."""
+    return evaluate.report(_results(spark, sf_dir)).drop("elapsed_ms")
+
+
 def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion(_results(spark, sf_dir))
 
@@ -187,27 +203,58 @@ def q_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)[1]
+    index = _index(spark, sf_dir)[1].rows
     return index.agg(F.count(F.lit(1)).alias("records"), F.countDistinct(F.floor(F.col("pos") / search.FAN)).alias("blocks"), F.sum("label").alias("frauds"))
 
 
 def q_http_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, case = F.col("merchant_id"), F.col("request_id") % 8
-    post = lambda *rest: F.concat(F.lit("POST /fraud-score HTTP/1.1\r\nHost: x\r\n"), *(x if not isinstance(x, str) else F.lit(x) for x in rest))
-    raw = (
-        F.when(case == 0, F.lit("GET /ready HTTP/1.1\r\nHost: x\r\n\r\n")).when(case == 1, post("Content-Length:  ", F.length(m).cast("string"), " \r\n\r\n", m, "next"))
-        .when(case == 2, F.lit("GET /other HTTP/1.1\r\n\r\n")).when(case == 3, post("Content-Length: 5000\r\n\r\nx")).when(case == 4, post("Content-Length: 5"))
-        .when(case == 5, post("Content-Length: 5x\r\n\r\nabcde")).when(case == 6, post("content-length: 4\r\n\r\nabcd")).otherwise(post("Content-Length: 99\r\n\r\nshort"))
-    )
-    return requests.parse_http(fraud_requests(spark, sf_dir).select("request_id", raw.alias("raw")))
+    return requests.parse_http(spark.sql(HTTP_BUFFERS, events=read_table(spark, sf_dir, "events")))
 
 
 def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fraud_requests(spark, sf_dir)
+    """Every body, valid and broken, as a stream: decisions, and rejects with their reason."""
     inbox, out, state = (shared_path(spark) for _ in range(3))
-    requests.request_json(f.where("is_query")).repartition(3).write.text(inbox)
-    score_stream(stream_requests(spark, inbox, 2), *cascade.build(references(f)), out, state).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
-
-
-QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
+    f = fraud_requests(spark, sf_dir)
+    _bodies(spark, sf_dir).where("request_id % 20 = 0 OR request_id % 50 IN (7, 13, 21, 33, 45)").select("body").repartition(3).write.text(inbox)
+    score_stream(stream_requests(spark, inbox, 2), search.build_index(references(f)), out, state).awaitTermination()
+    decisions = spark.read.parquet(out).drop("batch").withColumn("reason", F.lit(None).cast("string"))
+    rejects = spark.read.parquet(f"{out}-rejects").select(F.regexp_extract("body", '"id":"([^"]*)"', 1).alias("id"), "reason")
+    return decisions.unionByName(rejects, allowMissingColumns=True)
+
+
+QUERIES = {
+    "q_fraud_score": q_fraud_score,
+    "q_vectorize": q_vectorize,
+    "q_parse_requests": q_parse_requests,
+    "q_rejects": q_rejects,
+    "q_last_tx_features": q_last_tx_features,
+    "q_mcc_risk": q_mcc_risk,
+    "q_known_merchant_substring": q_known_merchant_substring,
+    "q_known_merchant_strict": q_known_merchant_strict,
+    "q_quantize_refs": q_quantize_refs,
+    "q_morton_key": q_morton_key,
+    "q_morton_rank": q_morton_rank,
+    "q_morton_lower_bound": q_morton_lower_bound,
+    "q_morton_window_frame": q_morton_window_frame,
+    "q_morton_top11": q_morton_top11,
+    "q_morton_vote": q_morton_vote,
+    "q_residual_queries": q_residual_queries,
+    "q_knn5_exact": q_knn5_exact,
+    "q_knn5_score": q_knn5_score,
+    "q_knn5_pruned": q_knn5_pruned,
+    "q_kd_bounds": q_kd_bounds,
+    "q_kd_widest": q_kd_widest,
+    "q_kd_split": q_kd_split,
+    "q_kd_leaf_sizes": q_kd_leaf_sizes,
+    "q_index_job": q_index_job,
+    "q_response_json": q_response_json,
+    "q_diagnose": q_diagnose,
+    "q_diagnose_report": q_diagnose_report,
+    "q_confusion": q_confusion,
+    "q_scorecard": q_scorecard,
+    "q_class_balance": q_class_balance,
+    "q_index_counts": q_index_counts,
+    "q_index_checksum": q_index_checksum,
+    "q_http_parse": q_http_parse,
+    "q_stream_score": q_stream_score,
+}

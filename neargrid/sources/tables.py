@@ -1,24 +1,36 @@
-"""Sources and sinks: labelled vectors, requests, evaluation sets, indexes, responses and reports."""
+"""Sources and sinks: labelled vectors, requests, evaluation sets, responses and reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from neargrid.functions.features import quantised_columns
 from neargrid.sources.schemas import EVALUATION, REFERENCE
+from neargrid.sources.shared import materialise
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of {vector, label} -> ref_id, v0..v13, label (1: fraud). Rows with another label or length fail.
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows of files with their number from 0: by file name, then by place in the file, however files are packed into tasks."""
+    part = ["_file", "_block"]
+    placed = materialise(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")))
+    parts = placed.groupBy(*part).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part of a file
+    parts = parts.withColumn("_before", before)
+    return placed.join(F.broadcast(parts), part).withColumn(name, F.col("_before") + F.col("_row") - F.col("_first")).drop(*part, "_row", "_first", "_n", "_before")
 
-    ref_id is the row's place, which a reread of the same files gives again.
+
+def read_references(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """{vector, label} -> ref_id, v0..v13, label (1: fraud). Rows with another label or length fail.
+
+    One JSON array a file, which one task reads; with `lines` one object a line, which is the way for large files.
+    ref_id is the row's place by file name and place in the file.
     """
-    raw = spark.read.schema(REFERENCE).option("multiLine", True).json(path).withColumn("ref_id", F.monotonically_increasing_id())
+    raw = numbered(spark.read.schema(REFERENCE).option("multiLine", not lines).json(path), "ref_id")
     ok = F.col("label").isin("legit", "fraud") & (F.size("vector") == 14)
     checked = raw.select("ref_id", F.when(ok, F.col("vector")).otherwise(F.raise_error(F.lit("a reference needs 14 numbers and a label legit or fraud"))).alias("vector"), "label")
     return checked.select("ref_id", *quantised_columns("vector"), (F.col("label") == "fraud").cast("tinyint").alias("label"))
@@ -33,21 +45,15 @@ def stream_requests(spark: SparkSession, path: str, files_per_trigger: int = 64)
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).withColumnRenamed("value", "body")
 
 
-def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """{entries: [{request, expected_approved}]} -> body, expected_approved."""
-    rows = spark.read.schema(EVALUATION).option("multiLine", True).json(path).select(F.explode("entries").alias("e"))
+def read_evaluation(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """{entries: [{request, expected_approved}]} -> body, expected_approved; with `lines` one entry a line."""
+    if lines:
+        rows = spark.read.schema(EVALUATION["entries"].dataType.elementType).json(path).select(F.struct("request", "expected_approved").alias("e"))
+    else:
+        rows = spark.read.schema(EVALUATION).option("multiLine", True).json(path).select(F.explode("entries").alias("e"))
     return rows.select(F.col("e.request").alias("body"), "e.expected_approved")
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """Range-partitioned and sorted by key, so that Parquet's statistics prune key ranges."""
-    index.repartitionByRange("key", "ref_id").sortWithinPartitions("key", "ref_id").write.mode("overwrite").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def warm(df: DataFrame) -> DataFrame:
     """Cache and touch every row."""
     df.cache().count()
