@@ -71,10 +71,7 @@ RULES = (
     ("CC-BY-ND-4.0", "ccbynd.notice"), ("CC-BY-NC-4.0", "ccbync.notice"), ("CC-BY-SA-4.0", "ccbysa.notice"), ("CC-BY-4.0", "ccby.notice"), ("CC0-1.0", "cc0.notice"),
     ("Unlicense", "unlicense.notice"), ("proprietary", "rights.reserved"),
 )
-#: Where sentences end, in the SQL.
-END = r"[.!?;:]+[ \t\r\n]+|[\r\n]+"
-ODD = r"[^a-z0-9.]+"
-#: The scan also finds what END cuts: line ends, ';' and ':' may stand in a known sentence, and HARD cuts only where the sentence has them.
+#: Line ends, ';' and ':' may stand in a known sentence; HARD cuts only where the sentence has them.
 HARD = r"[.!?][;:]*[ \t\r\n]+|(?:\r\n?+|\n)[ \t]*+[\r\n][ \t\r\n]*"
 SOFT = r"[;:][ \t]+|[\r\n]+"
 CUTS = {"v. 2.0": "v|2.0", " at http ": " at|http "}
@@ -110,7 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
     blank in it, and blank lines end it; of sentences that start at one place the longest counts. A rule matches
     identifiers that follow each other among the known sentences, whatever unknown ones stand between; at each place
     the first rule that matches takes its identifiers, and later matches start after them. Null and empty texts have
-    neither. Repeated rows keep a row each; an empty table gives none; other columns are ignored. The known sentences
+    neither; texts of any length are read whole. Repeated rows keep a row each; an empty table gives none; other columns are ignored. The known sentences
     are fixed, so nothing that is sent along grows with the data, and no text is shuffled.
     """
     bodies = "|".join(_body(s) for s in sorted(SENTENCES.values(), key=len, reverse=True))
@@ -128,14 +125,25 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
+    """The scan in SQL: the same fixed sentences and rules, but cuts, marks and matches found without look-around or possessive loops.
+
+    Each cut is written twice, so that a match can take one half on either side and leave the other to its neighbour.
+    """
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = "MAP {" + ", ".join(f"{quoted(v)}: {quoted(k)}" for k, v in SENTENCES.items()) + "}"
-    rules = "MAP {" + ", ".join(f"{quoted(_words(r))}: {quoted(r[0])}" for r in RULES) + "}"
-    pattern = "|".join(_words(r).replace(".", r"\.") for r in RULES)
+    gap = lambda s: s.replace(" ", "(?: |~~)").replace("\x00", "(?: |~~|[|][|])")
+    body = lambda s: gap(s.replace(".", "[.]").replace("v[.] 2", "v\x002").replace(" at http ", " at\x00https? ").replace(" http ", " https? "))
+    bodies = "|".join(body(s) for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    rules = RULES + ALONE
+    known = "MAP {" + ", ".join(f"{quoted(v.replace('v. 2.0', 'v 2.0'))}: {quoted(k)}" for k, v in SENTENCES.items()) + "}"
+    chosen = "MAP {" + ", ".join(f"{quoted(_words(r))}: {quoted(r[0])}" for r in rules) + "}"
+    pattern = "|".join(_words(r).replace(".", "[.]") for r in rules)
     return f"""
-    WITH s AS (
-      SELECT doc_id, list_transform(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{END}'), lambda x: {known}[trim(regexp_replace(x, '{ODD}', ' ', 'g'), ' .')]) AS a FROM documents
-    ), i AS (SELECT doc_id, list_filter(a, lambda x: x IS NOT NULL) AS ids FROM s
-    ), m AS (SELECT doc_id, ids, list_transform(regexp_extract_all(list_aggregate(list_concat([''], list_transform(ids, lambda x: '<' || x || '>')), 'string_agg', ''), '{pattern}'), lambda x: {rules}[x]) AS l FROM i
+    WITH a AS (
+      SELECT doc_id, translate(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '{UPPER}|~', '{UPPER.lower()},,') AS t FROM documents
+    ), b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[.!?][;:]*[ \\t\\r\\n]+|[\\r\\n][ \\t]*[\\r\\n][ \\t\\r\\n]*', '|', 'g'), '[;:][ \\t]+|[\\r\\n]+', '~', 'g') AS t FROM a
+    ), c AS (SELECT doc_id, regexp_replace(regexp_replace('|' || regexp_replace(t, '[^a-z0-9.|~]+', ' ', 'g') || '|', '[ .~]*[|][ .~|]*', '||', 'g'), '[ .]*~[ .~]*', '~~', 'g') AS t FROM b
+    ), s AS (SELECT doc_id, list_transform(regexp_extract_all(t, '[|~]({bodies})[|~]', 1), lambda x: replace(regexp_replace(x, '[|~]+', ' ', 'g'), ' https ', ' http ')) AS l FROM c
+    ), i AS (SELECT doc_id, list_transform(l, lambda x: {known}[x]) AS ids FROM s
+    ), m AS (SELECT doc_id, ids, list_transform(regexp_extract_all(list_aggregate(list_concat([''], list_transform(ids, lambda x: '<' || x || '>')), 'string_agg', ''), '{pattern}'), lambda x: {chosen}[x]) AS l FROM i
     ), d AS (SELECT doc_id, ids, list_transform(list_filter(list_transform(l, lambda x, k: {{'x': x, 'first': list_position(l, x) = k}}), lambda z: z.first), lambda z: z.x) AS found FROM m)
     SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ',') AS sentences, array_to_string(found, ',') AS licenses, CAST(len(found) AS BIGINT) AS n_licenses FROM d"""

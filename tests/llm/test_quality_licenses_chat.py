@@ -129,6 +129,21 @@ def test_wrapped_licenses(spark):
     ]
     docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
     assert [(r.sentences, r.licenses) for r in licenses.scan(docs).orderBy("doc_id").collect()] == [tuple(c[1:]) for c in cases]
+    assert sorted(map(tuple, licenses.scan(docs).collect()), key=str) == oracle(licenses.oracle(), {"documents": docs})
+
+
+def test_mixed_licenses_as_sql(spark):
+    """Sentences wrapped, cut and joined at random: the scan and the SQL agree."""
+    rnd = random.Random(9)
+    known, gaps = list(licenses.SENTENCES.values()), [" ", "\n", "\r\n", "\r", " \n ", "\n\n", "; ", ": ", ". ", ".\n", "~", "|", " - ", "!! ", "\t"]
+    texts = []
+    for _ in range(400):
+        words = " ".join(rnd.choice(known + ["foo", "the end"]) for _ in range(rnd.randrange(1, 5))).split(" ")
+        texts.append("".join(w.upper() * (rnd.random() < 0.1) or w for w in (x + (rnd.choice(gaps) if rnd.random() < 0.15 else " ") for x in words)))
+    texts += [rnd.choice(gaps).join(rnd.choice(known) for _ in range(rnd.randrange(1, 6))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, licenses.scan(docs).collect()), key=str)
+    assert got == oracle(licenses.oracle(), {"documents": docs}) and sum(r[4] > 0 for r in got) > 200
 
 
 @pytest.mark.parametrize("limit", [500_000, 0])
