@@ -10,8 +10,20 @@ from neargrid.sources.schemas import EVALUATION, REFERENCE
 from neargrid.sources.shared import materialise
 
 
+#: Tables of fewer files than cores are dealt out anew if they have fewer bytes a core.
+SMALL = 32 << 20
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """A small table of a few files, which few tasks would read, over all cores: rows may cost much more than their bytes tell."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SMALL:
+        return df
+    return df.repartition(cores)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
