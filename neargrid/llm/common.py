@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from neargrid.sources.shared import materialise, shared_root
+from neargrid.sources.tables import read_table
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
+__all__ = ["UPPER", "ascii_lower", "cut", "fields", "quoted", "read_table", "row_key", "row_schema", "stored"]
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def cut(df: DataFrame) -> DataFrame:
