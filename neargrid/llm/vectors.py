@@ -14,7 +14,7 @@ from neargrid.llm.common import cut, row_key
 from neargrid.llm.components import connected_components
 
 #: Classes that the quantiser is fitted on at most, least hashes first. Every class is indexed.
-SAMPLE = 16_384
+SAMPLE = 8192
 #: Centroids of a level at most. Beyond, a second level cuts each list by what the first leaves over.
 CENTRES = 1024
 #: Dimensions of a subspace, and codes in each.
@@ -243,10 +243,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     count, dim = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
     if count:
         most = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        sample = classes.orderBy(F.xxhash64("k1"), "k2").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
-        x = np.zeros((len(sample), dim))
-        for i, v in enumerate(sample):
-            x[i, : len(v)] = v
+        sample = classes.orderBy(F.xxhash64("k1"), "k2").limit(SAMPLE).select("v", "dim").toArrow().combine_chunks()
+        x = np.zeros((sample.num_rows, dim))
+        x[np.arange(dim) < sample.column("dim").to_numpy()[:, None]] = sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        del sample
         x /= np.abs(x).max(axis=1, keepdims=True)
         model = Quantiser.fit(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), -(-most // CELL))
         found = cut(links(classes.select("node", "label", "dim", "v", "size"), model, threshold))
