@@ -18,7 +18,7 @@ from neargrid.llm.common import cut, quoted, row_key
 from neargrid.llm.components import connected_components
 
 #: Fingerprints of a pair of trie nodes that one task takes; a larger pair goes further down the trie.
-CELL = 1 << 14
+CELL = 1 << 16
 #: Levels that one step of the dealing goes down at most.
 STEP = 6
 #: Node pairs of this many fingerprint pairs or fewer are leaves: their fingerprints are compared.
@@ -30,7 +30,7 @@ BROADCAST_ROWS = 500_000
 #: Rows whose texts are Python objects at once.
 SLICE = 512
 #: Fingerprints that a task gathers before it joins the cells it has whole.
-GATHER = 1 << 16
+GATHER = 1 << 17
 
 
 def simhash(text: bytes | None, shingle: int = 3) -> int:
