@@ -243,7 +243,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     count, dim = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
     if count:
         most = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        sample = classes.orderBy(F.xxhash64("k1"), "k2").limit(SAMPLE).select("v", "dim").toArrow().combine_chunks()
+        share = min(1 << 30, -(-(2 * SAMPLE << 30) // count))  # by a hash first, so that no partition sends more than its part
+        sample = classes.where(F.pmod(F.xxhash64("k2"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("k1"), "k2").limit(SAMPLE).select("v", "dim").toArrow().combine_chunks()
         x = np.zeros((sample.num_rows, dim))
         x[np.arange(dim) < sample.column("dim").to_numpy()[:, None]] = sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         del sample
