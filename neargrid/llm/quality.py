@@ -119,7 +119,7 @@ def _kth(rows: DataFrame, key: str, k: int) -> float:
         lo, hi = r["lo"], r["hi"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, carry: list[str], fraction: float | None = None, temperature: float = 1.0, keep: float = 0.995, seed: int = 4) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, carry: list[str], fraction: float | None = None, temperature: float = 1.0, keep: float = 0.999, seed: int = 4) -> DataFrame:
     """docs (doc_id, text, ...), labels (doc_id, quality, ...) -> row (struct of `carry`), log_weight, key, sampled.
 
     Both models generate a text byte by byte, each byte after the two before it (in hashed slots), and say of each

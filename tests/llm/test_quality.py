@@ -31,7 +31,7 @@ def slots(raw):
     return out + [("again" if v == w else "fresh", "word") for v, w in zip(words, words[1:])], len(out)
 
 
-def brute(docs, labels, fraction=None, keep=0.995, seed=4):
+def brute(docs, labels, fraction=None, keep=0.999, seed=4):
     """[(doc_id, log_weight, key, sampled)] by dictionaries and one sort."""
     best = {}
     for d, q in labels:

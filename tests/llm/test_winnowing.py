@@ -4,7 +4,6 @@ import re
 
 import duckdb
 from neargrid.llm import queries, winnowing
-from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
