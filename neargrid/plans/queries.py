@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neargrid.functions import features, morton
@@ -157,14 +157,22 @@ def q_kd_leaf_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.build(references(fraud_requests(spark, sf_dir)))[1].groupBy("n").agg(F.count(F.lit(1)).alias("leaves"))
 
 
+def _whole(x: int | None) -> Column:
+    """A whole number as bigint, as SQL has it; one that no bigint holds, for which SQL fails, as decimal(38,0)."""
+    return F.lit(x).cast("bigint" if x is None or -(1 << 63) <= x < 1 << 63 else "decimal(38,0)")
+
+
 def q_index_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The job writes both indexes; what their readers give back is counted."""
+    """The job writes both indexes; what their readers give back is counted. Sums of products of millions of rows outgrow
+    bigint, so they are taken in decimals and come back whole."""
     path = shared_path(spark)
     build_indexes(references(fraud_requests(spark, sf_dir)), path)
     index, (rows, leaves) = read_index(spark, f"{path}/morton"), read_kd(spark, f"{path}/kd")
-    morton_ = index.rows.agg(F.count(F.lit(1)).alias("entries"), F.sum("label").alias("frauds"), F.sum(F.col("pos") * F.col("ref_id")).alias("places"))
-    kd = leaves.agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("kd_records"))
-    return morton_.crossJoin(kd).crossJoin(rows.agg(F.sum("ref_id").alias("kd_refs")))  # one row each
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    found = index.rows.agg(F.count(F.lit(1)).alias("entries"), F.sum("label").alias("frauds"), F.sum(wide("pos") * wide("ref_id")).alias("places")).first().asDict()
+    found |= leaves.agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("kd_records")).first().asDict()
+    found |= rows.agg(F.sum(wide("ref_id")).alias("kd_refs")).first().asDict()
+    return spark.range(1).select(*(_whole(v).alias(k) for k, v in found.items()))
 
 
 def q_index_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from neargrid.plans.oracles import ORACLE_SQL
+from neargrid.plans.oracles import KEYED, ORACLE_SQL
 from neargrid.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,15 @@ def test_query(spark, duck, name):
     assert sorted(out.columns) == sorted(names)
     assert rows(out.columns, got) == rows(names, want)
     assert got
+
+
+def test_index_job_adds_up_what_outgrows_bigint(spark, tmp_path):
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT * REPLACE (event_id + 1000000000000000 AS event_id) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    n, places, refs = duck.execute(f"{KEYED} SELECT count(*), sum(pos::HUGEINT * ref_id), sum(ref_id) FROM r").fetchone()
+    assert places >= 1 << 63 > refs
+    out = QUERIES["q_index_job"](spark, str(tmp_path))
+    got = out.first()
+    assert (got.entries, int(got.places), got.kd_records, got.kd_refs) == (n, places, n, refs)
+    assert dict(out.dtypes) == {c: "decimal(38,0)" if c == "places" else "bigint" for c in out.columns}
