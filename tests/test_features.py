@@ -175,6 +175,25 @@ def test_searches_against_brute_force(spark, n):
     assert scores == {i: sum(j % 3 == 0 for _, j in w) for i, w in want.items()}
 
 
+def test_kd_search_asks_equal_queries_once_and_meets_few_leaves(spark, monkeypatch):
+    """Equal rows on many leaves, overlapping boxes, a tree of several steps, and a k that no leaf holds."""
+    monkeypatch.setattr(kdtree, "STEP", 2)
+    refs, qs = vectors(60, 11) * 5, vectors(6, 12) * 3
+    index, q = frames(spark, refs, qs)
+    rows, leaves = kdtree.build(index.rows, 8)
+    met = []
+    real = kdtree.materialise
+    monkeypatch.setattr(kdtree, "materialise", lambda df: met.append(real(df)) or met[-1])
+    for k in (5, 20):
+        want = {1000 + i: sorted((sum((a - b) ** 2 for a, b in zip(v, r, strict=True)), j) for j, r in enumerate(refs))[:k] for i, v in enumerate(qs)}
+        got = {}
+        for r in kdtree.knn(q, rows, leaves, k).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append((r.d, r.ref_id))
+        assert got == want
+    asked = [df.count() for df in met if df.columns == [*search.QUERY, "id"]]
+    assert asked == [len(set(map(tuple, qs)))] * 2
+
+
 def test_box_levels_deeper_than_two(spark, monkeypatch):
     monkeypatch.setattr(search, "FAN", 3)
     refs, qs = vectors(100, 5, ties=False), vectors(6, 6, ties=False)
